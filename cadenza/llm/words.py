@@ -94,6 +94,14 @@ class WordClass:
         return mix(np.add.reduceat(v, starts) * powers(pow(base, -1, 1 << 64), len(data))[starts])
 
 
+    def beginnings(self, data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        """The 64-bit values of the words' first n bytes; of shorter words, of what there is and no use."""
+        out = np.full(len(starts), n, np.uint64)
+        for i in range(n):
+            out = out * np.uint64(_BASES[1]) + self.table[data[np.minimum(starts + i, len(data) - 1)]]
+        return mix(out)
+
+
 def windows(values: np.ndarray, size: int, which: int = 1) -> np.ndarray:
     """The 64-bit value of each run of ``size`` words (rows aren't told apart); ``which`` picks the function."""
     if len(values) < size:
