@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, decontaminate, langid, substrings, toxicity
+from . import bpe, credentials, ctw, decontaminate, langid, substrings, toxicity
 
 
 def vocabulary() -> str:
@@ -89,6 +89,13 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(remainder(7) == 2, F.lit(False))
+    scored = ctw.score(docs, F.coalesce(remainder(7) != 2, F.lit(False)))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", sha256(F.col("kept")).alias("kept_sha256"))
@@ -122,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
+    "op5_ctw": op5_ctw,
     "op7_substrings": op7_substrings,
     "op8_secrets": op8_secrets,
     "op10_langid": op10_langid,
