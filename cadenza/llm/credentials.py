@@ -5,9 +5,9 @@ credential's name, an assignment sign and a value of six characters or more), ``
 identifiers of twenty characters or more) and ``hex`` (runs of 24 hexadecimal digits or more).
 
 Weak candidates say nothing alone: a token of mixed letters and digits, a URL or host with a port.
-They are reported only where the parts complement each other. Each access identifier or assignment
-opens a scope, its span widened by ``SCOPE`` code points to either side; candidates are interval-joined
-to the scopes by a sweep over their sorted starts. A weak token inside the scope of an access
+They are reported only where the parts complement each other. Each access identifier opens a scope, its
+span widened by ``SCOPE`` bytes to either side; candidates are interval-joined to the scopes by a sweep
+over their sorted starts. A weak token inside the scope of an access
 identifier is reported as ``part_secret``; an endpoint inside the scope of an access identifier that
 also has a secret part (an assignment, a long hex run or a weak token) is reported as
 ``part_endpoint``. Weak candidates that overlap what the first three kinds found are left to those.
@@ -24,6 +24,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrow
@@ -131,3 +132,36 @@ def find_secrets(df: DataFrame, text: str = "text", spans: str = "spans", scope:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     struct = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     return arrow.with_columns(df, text, [T.StructField(spans, T.ArrayType(struct))], make)
+
+
+def redact(df: DataFrame, text: str = "text", length: str | None = None, scope: int = SCOPE) -> DataFrame:
+    """``df`` with each span of a secret replaced by ``[KIND]``; overlapping spans are one, of the first kind.
+
+    A column named ``length`` gets the new texts' code points; null texts stay null, and texts without a
+    secret stay as they are.
+    """
+
+    def make():
+        def work(part: pa.RecordBatch) -> list:
+            column = part.column(part.schema.get_field_index(text))
+            data, at = arrow.text_bytes(column)
+            hexes = hex_runs(data, at)
+            out, sizes = [], []
+            for i in range(part.num_rows):
+                raw = data[at[i] : at[i + 1]].tobytes()
+                end, pieces = 0, []
+                for kind, s, e in scan(raw, hexes.get(i, []), scope):
+                    if s >= end:
+                        pieces += [raw[end:s], b"[" + kind.upper().encode() + b"]"]
+                    end = max(end, e)
+                whole = (b"".join([*pieces, raw[end:]]) if pieces else raw).decode("utf-8", "replace")
+                missing = not column[i].is_valid
+                out.append(None if missing else whole)
+                sizes.append(None if missing else len(whole))
+            return [pa.array(out, pa.string()), *([pa.array(sizes, pa.int64())] if length else [])]
+
+        return work
+
+    whole = [f.name for f in df.schema.fields]
+    fields = [T.StructField(text, T.StringType()), *([T.StructField(length, T.LongType())] if length else [])]
+    return arrow.with_columns(df, text, fields, make).select(*[F.col(f"`{c}`") for c in whole])

@@ -200,9 +200,11 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4,
 
     Columns of ``df`` with these names are replaced; rows come in no order.
     """
+    if not 100 / WIDEN < share <= 100:
+        raise ValueError("a pair's sizes must be in neighbouring bands: share has to be above 100 / WIDEN")
     spark = df.sparkSession
     parts = px.partitions(spark)
-    docs = df.select(F.col(text).alias("t"))
+    docs = df.select(F.col(f"`{text}`").alias("t"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, ctw, decontaminate, jaccard, langid, substrings, toxicity
+from . import bpe, credentials, ctw, decontaminate, jaccard, langid, preferences, substrings, topk, toxicity
 
 
 def vocabulary() -> str:
@@ -117,6 +117,41 @@ def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the conversations 2k and 2k + 1 the former is the chosen one."""
+    turns = table(spark, sf_dir, "conversations")
+    return preferences.format_preferences(turns, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
+
+
+OP9_SQL = """
+WITH t AS (
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS good, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+counts AS (SELECT pair_id, turn, role, text, count(*) FILTER (good) AS n1, count(*) FILTER (NOT good) AS n0 FROM t GROUP BY ALL),
+ends AS (SELECT pair_id, min(turn) FILTER (n1 <> n0) AS cut FROM counts GROUP BY pair_id HAVING sum(n1) > 0 AND sum(n0) > 0)
+SELECT pair_id, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' WHEN good THEN 'chosen' ELSE 'rejected' END AS part, turn, role,
+  '<|' || replace(role, '|', '') || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS rendered,
+  NOT (cut IS NULL OR turn < cut) AND role = 'assistant' AS loss
+FROM t JOIN ends USING (pair_id) WHERE good OR NOT (cut IS NULL OR turn < cut)
+"""
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", sha256(F.col("kept")).alias("kept_sha256"))
@@ -152,13 +187,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op5_ctw": op5_ctw,
+    "op6_topk": op6_topk,
     "op7_substrings": op7_substrings,
     "op8_secrets": op8_secrets,
+    "op9_preferences": op9_preferences,
     "op10_langid": op10_langid,
 }
 
 ORACLES: dict[str, str] = {
     "op1_jaccard": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
+    "op6_topk": OP6_SQL,
     "op7_substrings": OP7_SQL,
+    "op9_preferences": OP9_SQL,
 }
