@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,7 @@ def ensure_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder; executors may be lost afterwards."""
-    ensure_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read back: its lineage is cut, and executors may be lost afterwards."""
+    path = f"{ensure_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

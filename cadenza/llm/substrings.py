@@ -129,7 +129,6 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = 35, kept: str
     number = max(2 * parts, math.ceil(chars / BLOCK_CHARS))
     names = [f.name for f in passed]
     docs = df.select(*[F.col(f"`{n}`") for n in names], px.block_of(number, *names).alias("__block")).repartition(parts, "__block")
-    texts = docs.select("__block", F.col(text).alias("__text"))
 
     def pack(block: int, found: list[np.ndarray], width: int) -> pa.Table:
         keys = np.concatenate([*found, np.zeros((0, width), np.uint64)])
@@ -141,7 +140,7 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = 35, kept: str
             yield from arrow.slices(batch, name)
 
     def anchor_keys(table: pa.Table) -> pa.Table:
-        found = [Texts(p.column(p.schema.get_field_index("__text")), size).anchors()[1].reshape(-1, 1) for p in pieces(table, "__text")]
+        found = [Texts(p.column(p.schema.get_field_index(text)), size).anchors()[1].reshape(-1, 1) for p in pieces(table, text)]
         return pack(table.column("__block")[0].as_py(), found, 1)
 
     def known_of(table: pa.Table, width: int) -> np.ndarray:
@@ -151,8 +150,8 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = 35, kept: str
         if not table.num_rows or not again.num_rows:
             return pack(0, [], 2)
         known, found = known_of(again, 1), []
-        for p in pieces(table, "__text"):
-            some = Texts(p.column(p.schema.get_field_index("__text")), size)
+        for p in pieces(table, text):
+            some = Texts(p.column(p.schema.get_field_index(text)), size)
             at, keys = some.anchors()
             found.append(some.keys(some.candidates(at[_inside(keys.reshape(-1, 1), known)])))
         return pack(table.column("__block")[0].as_py(), found, 2)
@@ -174,8 +173,9 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = 35, kept: str
         return [*[table.schema.field(n) for n in names], *[pa.field(n, t) for n, t in ((kept, pa.string()), (n_words, pa.int64()), (n_removed, pa.int64()))]]
 
     keys = "part int, block int, blob binary"
-    repeated = px.recurring(texts.groupBy("__block").applyInArrow(anchor_keys, keys), parts, 1)
-    repeated = px.recurring(_together(texts, repeated, parts, window_keys, keys), parts, 2)
+    # all three passes read the same columns, so that they share one exchange of the texts
+    repeated = px.recurring(docs.groupBy("__block").applyInArrow(anchor_keys, keys), parts, 1)
+    repeated = px.recurring(_together(docs, repeated, parts, window_keys, keys), parts, 2)
     return _together(docs, repeated, parts, cut, T.StructType(passed + fields))
 
 
