@@ -13,12 +13,13 @@ features in more than k ranges, every linked set agrees with it in a range that
 that fail this, which are small, get a second, finer partitioning; if they fail it too, one signature
 for the family, so no pair is lost.
 
-Signatures meet in packed form. Within those that share one, pairs are formed with one hub; their
-texts are compared exactly; links give components. Only where the members of a signature are still in
-several components, the next hubs (1, 2, 4, ... at a time) are compared to the members of the other
-components, until every pair across components has been. So a group of near copies costs about a pair
-for each member, all pairs within a group are not formed, and yet no link that would join two
-components is missed.
+Signatures meet in packed form. Within those that share one, pairs are formed with one hub. Sizes and
+marks (features counted in ``MARK`` ranges; the counts' distance is at most the sets' difference) rule
+out most pairs that don't link; the others' texts are compared exactly; links give components. Where
+the nodes of a hub are still in several components, the marks of nodes of different components are
+compared in the tasks, a share of ``HUBS`` nodes a task. First each node's nearest such pair, then all
+pairs that may link and still are across components, are compared exactly. So a group of near copies costs about a pair for each member, pairs within a
+component are not formed, and yet no link that would join two components is missed.
 
 Components come from hooking to the least neighbour and halving paths, by joins and aggregations.
 
@@ -44,6 +45,8 @@ from .words import SPACED_FOLDED, mix, windows
 _U = np.uint64
 _C = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93)]
 WIDEN = 1.6
+MARK = 128
+HUBS = 512
 BITS = 24  # of the filter that keeps texts without candidates from being sent
 
 
@@ -139,6 +142,53 @@ def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     return 100 * both >= share * (low + high - both)
 
 
+def _close(size: int, mark: np.ndarray, sizes: np.ndarray, marks: np.ndarray, share: int) -> np.ndarray:
+    """Which sets may link with one, as far as sizes and marks tell."""
+    both = sizes + size
+    least = np.abs(marks - mark).sum(axis=-1) * (100 + share) <= both * (100 - share)
+    return least & (100 * np.minimum(sizes, size) >= share * np.maximum(sizes, size))
+
+
+def _near(pairs: DataFrame, marks: DataFrame, share: int) -> DataFrame:
+    """The pairs whose marks don't rule out a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, MARK).astype(np.int16) for i in (3, 5))
+            keep = pa.array(_close(b.column(2).to_numpy(), x, b.column(4).to_numpy(), y, share))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    one = marks.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("mark").alias("ma"))
+    two = marks.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("mark").alias("mb"))
+    return kept(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "ma", "sb", "mb").mapInArrow(run, "a long, b long"))
+
+
+def _across(told: DataFrame, comp: DataFrame, marks: DataFrame, share: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of one hub's nodes in different components that may link: all, or each node's nearest."""
+    told = told.join(comp, "node")
+    mixed = told.groupBy("hub").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1 AND n > 2")
+    mixed = mixed.select("hub", F.ceil(F.col("n") / HUBS).cast("int").alias("parts"))
+    # each part has all of the hub's nodes and compares its share of them with the later ones
+    rest = told.join(mixed, "hub").join(marks, "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hub", "part", "mine", "node", "component", "size", "mark")
+
+    def compare(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("node").to_numpy())
+        node, comps, sizes, mine = (table.column(c).to_numpy()[order] for c in ("node", "component", "size", "mine"))
+        mark = np.frombuffer(b"".join(table.column("mark").to_pylist()), np.uint8).reshape(-1, MARK)[order].astype(np.int16)
+        found = []
+        for h in np.flatnonzero(mine == table.column("part")[0].as_py()):
+            may = np.flatnonzero(comps[h + 1 :] != comps[h]) + h + 1
+            may = may[_close(sizes[h], mark[h], sizes[may], mark[may], share)]
+            if nearest and len(may):
+                may = may[[np.abs(mark[may] - mark[h]).sum(axis=1).argmin()]]
+            found.append(np.stack([np.full(len(may), node[h]), node[may]], axis=1))
+        flat = np.concatenate([*found, np.zeros((0, 2), np.int64)])
+        return pa.table([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+
+    return rest.groupBy("hub", "part").applyInArrow(compare, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of the edges (a, b); a component is named by its least node."""
     done: list[DataFrame] = []
@@ -230,25 +280,15 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4,
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], names=["part", "blob"])
 
     groups = kept(_meet(docs.mapInArrow(send, "part int, blob binary"), parts))
-    first = groups.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b")).distinct()
-    links = kept(_verified(docs, kept(first), width, share, parts))
-    more = kept(groups.filter(F.size("members") > 2).dropDuplicates(["name"]).select("name", F.posexplode("members").alias("rank", "node")))
-    hubs = 1
-    comp = components(links)
-    while True:
-        told = more.filter(F.col("rank") >= 0).join(comp, "node", "left").select("name", "rank", "node", F.coalesce("component", "node").alias("c"))
-        mixed = told.groupBy("name").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("rank").alias("last")).filter((F.col("c0") != F.col("c1")) & (F.col("last") > hubs)).select("name")
-        left = kept(told.join(mixed, "name", "left_semi"))
-        if left.isEmpty():
-            break
-        hub = left.filter((F.col("rank") >= hubs) & (F.col("rank") < 2 * hubs)).select("name", F.col("rank").alias("r"), F.col("node").alias("a"), F.col("c").alias("ca"))
-        pairs = left.join(hub, "name").filter((F.col("rank") > F.col("r")) & (F.col("c") != F.col("ca")))
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        found = kept(_verified(docs, kept(pairs), width, share, parts))
-        if not found.isEmpty():
-            links = kept(links.unionByName(found).distinct())
-            comp = components(links)
-        hubs *= 2
+    nodes = kept(groups.select(F.explode("members").alias("node")).distinct())
+    texts = kept(_texts(docs, nodes, width, parts))
+    marks = texts.select("node", "size", "mark")
+    stars = groups.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b")).distinct()
+    comp = _relabelled(nodes.select("node", F.col("node").alias("component")), kept(_verified(texts, _near(stars, marks, share), width, share)))
+    # each hub with all that share a signature with it
+    told = kept(stars.unionByName(stars.select("a", F.col("a").alias("b")).distinct()).select(F.col("a").alias("hub"), F.col("b").alias("node")))
+    for nearest in (True, False):  # most components are joined by their members' nearest pairs; the rest are few
+        comp = _relabelled(comp, kept(_verified(texts, _across(told, comp, marks, share, nearest).distinct(), width, share)))
 
     fields = [T.StructField(size, T.LongType()), T.StructField("__node", T.LongType())]
 
@@ -269,12 +309,22 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4,
     return rows.join(named, "__node", "left").select(*[F.col(f"`{c}`") for c in keep], size, F.when(F.col(size) > 0, F.col("__least")).otherwise(F.col(f"`{key}`")).alias(out))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, share: int, parts: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link, found by comparing their texts' sets."""
+def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after the components that the links (a, b) touch have been joined."""
+    if links.isEmpty():
+        return comp
+    one = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    two = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    over = links.join(one, "a").join(two, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    new = components(over).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return kept(comp.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, width: int, parts: int) -> DataFrame:
+    """(node, t, size, mark): one text for each of the nodes, and for some others that share a place of the filter with them."""
     spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     place = F.pmod("node", F.lit(1 << BITS))
-    bits = ends.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()  # 4 KB for each 32,768 places
+    bits = nodes.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()  # 4 KB for each 32,768 places
     mask = np.zeros(((1 << BITS) // 32768 + 2, 4096), np.uint8)
     for r in bits:
         mask[r["k"]] = np.frombuffer(bytes(r["m"]), np.uint8)
@@ -294,21 +344,27 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, share: int, parts:
                     if int(s.nodes[i]) not in seen:
                         seen.add(int(s.nodes[i]))
                         take.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array(s.nodes[take].astype(np.int64)), piece.column(0).take(pa.array(take, pa.int64()))], names=["node", "t"])
+                marks = [np.minimum(np.bincount((s.sets[i] >> _U(57)).astype(np.int64), minlength=MARK), 255).astype(np.uint8).tobytes() for i in take]
+                yield pa.RecordBatch.from_arrays([pa.array(s.nodes[take].astype(np.int64)), piece.column(0).take(pa.array(take, pa.int64())), pa.array(s.sizes[take]), pa.array(marks, pa.binary())], names=["node", "t", "size", "mark"])
+
+    sent = docs.mapInArrow(texts, "node long, t string, size long, mark binary").repartition(parts, "node")
+    return sent.dropDuplicates(["node"])
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, share: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets link, found by comparing their texts' sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, have = None, None
         for batch in batches:
-            a, b, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            a, keep = batch.column(0).to_pylist(), []
             for i in range(batch.num_rows):
                 if a[i] != last:
                     last, have = a[i], Sets(batch.column(2).slice(i, 1), width).sets[0]
                 keep.append(linked(have, Sets(batch.column(3).slice(i, 1), width).sets[0], share))
-            mask_ = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask_), batch.column(1).filter(mask_)], names=["a", "b"])
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    sent = docs.mapInArrow(texts, "node long, t string").repartition(parts, "node")
-    sent = sent.groupBy("node").agg(F.first("t").alias("t"))
-    two = pairs.join(sent.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-    four = two.join(sent.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
+    two = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+    four = two.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
     return four.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
