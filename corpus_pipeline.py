@@ -21,9 +21,12 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one of least id stays: words in fives, similarity 0.8."""
+    """Of each component of linked documents the one of least id stays: words in fives, similarity 0.8.
+
+    Rows of one id are one document and stay together; rows without an id go only if their component has one.
+    """
     found = jaccard.join(docs, width=5, share=80, out="__component", size="__size")
-    return found.filter(F.col("doc_id") == F.col("__component")).select(*docs.columns)
+    return found.filter(F.col("doc_id").eqNullSafe(F.col("__component"))).select(*docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
