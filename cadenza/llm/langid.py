@@ -8,8 +8,9 @@ has ``BUCKETS`` rows and a column a language, whatever the corpus.
 
 Training takes about ``rows_per_language`` labelled rows of each language and ``piece`` code points
 at a hashed place of each; these parameters bound what the driver gets.
-A tenth of the sample is left out of training; it sets the softmax's temperature, and the least
-confidence below which a text is rejected.
+A tenth of the sample is left out of training; it sets the softmax's temperature. A text is rejected if
+its calibrated chance is hardly above a guess (1.2 / languages), or below what all but 1 in 500 of the
+right answers on the left-out texts have, whichever is less: texts in two languages are kept.
 
 Null texts and texts without a letter get the language ``und`` and the score 0, and are rejected.
 With no labelled row at all, every text is ``und``.
@@ -144,7 +145,7 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 6, r
         best = model.chances(data, at)
         right = best.argmax(axis=1) == truth
         sure = np.sort(best.max(axis=1)[right])
-        model.least = float(min(0.5, sure[len(sure) // 500])) if len(sure) else 0.0
+        model.least = float(min(1.2 / len(languages), sure[len(sure) // 500])) if len(sure) else 0.0
     return model
 
 
