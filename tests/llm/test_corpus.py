@@ -336,3 +336,20 @@ def test_equals_sql(spark, name):
 
 def test_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and pa.__version__ and np.__version__
+
+
+def test_pipeline_stages_with_hard_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(r[0] if r[0] != 5 else None, r[1], "en" if r[0] % 2 else None, None if r[0] % 3 else "s", None, "extra") for r in fixture.documents(4)]
+    rows += [rows[7], rows[7], (None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "nothing of this occurs"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, str(tmp_path))
+            assert number == 4 or out.columns == docs.columns
+            assert out.count() <= given.count()
+    assert corpus_pipeline.run(spark, str(tmp_path)).filter("intact").count() > 30
