@@ -139,6 +139,28 @@ def scored(df: DataFrame, scorer: Callable[[], Callable[[np.ndarray], tuple[floa
     return df.mapInPandas(run, shape)
 
 
+def recognized(df: DataFrame, recognizer: Callable[[], Callable[[np.ndarray, str], str]], content: str = "content") -> DataFrame:
+    """``df`` (with ``lang``) without its bytes, with ``transcript`` and ``error`` (300 characters at most).
+
+    ``recognizer()`` gives a function from 16 kHz samples and a language to a transcript.
+    """
+    kept = [f for f in df.schema.fields if f.name != content]
+    names = [f.name for f in kept]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        recognize = recognizer()
+        for frame in frames:
+            rows = []
+            for raw, lang in zip(frame[content], frame["lang"], strict=True):
+                try:
+                    rows.append((recognize(samples(raw), lang), None))
+                except Exception as e:  # a clip's failure is data here
+                    rows.append((None, str(e)[:300]))
+            yield pd.concat([frame[names].reset_index(drop=True), pd.DataFrame(rows, columns=["transcript", "error"])], axis=1)
+
+    return df.mapInPandas(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "transcript string, error string"]))
+
+
 def embedded(df: DataFrame, encoder: Callable[[], Callable[[list[np.ndarray]], np.ndarray]], batch: int = 8, seconds: float = 6.0, content: str = "content") -> DataFrame:
     """``df`` without its bytes, with ``embedding``; clips are batched by size to save padding.
 

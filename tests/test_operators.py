@@ -280,6 +280,12 @@ def test_embeddings_fall_back(spark):
     assert {r["id"]: r["embedding"] for r in ax.embedded(df, encoder).collect()} == {"a": [3200.0, 1.0], "b": [1600.0, 1.0]}
 
 
+def test_recognized(spark):
+    df = spark.createDataFrame([("a", "hi", wav()), ("b", "hi", b"no")], "id string, lang string, content binary")
+    got = {r["id"]: (r["transcript"], r["error"]) for r in ax.recognized(df, lambda: lambda x, lang: f"{lang} {len(x)}").collect()}
+    assert got == {"a": ("hi 3200", None), "b": (None, "no 16-bit PCM WAV")}
+
+
 def test_streaming(spark, tmp_path):
     from cadenza.streaming import results as stream
 
