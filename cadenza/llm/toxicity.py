@@ -15,7 +15,8 @@ Training takes ``rows_per_label`` labelled rows of each label at most (those of
 these the ones of ``max_chars`` code points at most, as hashed words: these parameters bound what the
 driver gets and what is broadcast.
 Features in fewer than ``least_documents`` sampled documents get no weight, and after half of the
-epochs those below ``least_weight`` lose theirs. A tenth of the sample is left out; on it, the documents' log odds get their slope and offset.
+epochs those below ``least_weight`` lose theirs; from then on, sentences without a weighted word have
+no chance to be toxic, so a text's length says nothing. A tenth of the sample is left out; on it, the documents' log odds get their slope and offset.
 
 Null and empty texts, and all texts when there are no labels, get a low defined score: that of a
 document without sentences.
@@ -38,6 +39,7 @@ BUCKETS = 1 << 20
 SHIFT = np.uint64(44)
 BEGINNINGS = (4, 5, 6)
 WIDTH = 1 + len(BEGINNINGS)
+SILENT = -40.0
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n\r")] = True
 
@@ -74,11 +76,12 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
 
-    def sentences(self, words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    def sentences(self, words: np.ndarray, begins: np.ndarray, strict: bool = True) -> np.ndarray:
+        """Each sentence's log odds; with ``strict``, next to none for sentences without a word of any weight."""
         if not len(begins):
             return np.zeros(0)
-        each = self.weights[words].sum(axis=1, dtype=np.float64)
-        return np.add.reduceat(each, begins) + self.bias
+        total = np.add.reduceat(self.weights[words].sum(axis=1, dtype=np.float64), begins)
+        return np.where(total > 0, total + self.bias, SILENT) if strict else total + self.bias
 
     def clean(self, z: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """The log of each document's chance that no sentence is toxic."""
@@ -122,7 +125,7 @@ def train(
             begins = np.concatenate([docs[i][1] + s for i, s in zip(some, shift, strict=True)])
             per = np.array([len(docs[i][1]) for i in some])
             edges = np.concatenate([[0], np.cumsum(per)])
-            z = model.sentences(words, begins)
+            z = model.sentences(words, begins, strict=epoch >= epochs // 2)
             p = 1 / (1 + np.exp(-z))
             none = np.exp(model.clean(z, edges))
             pull = np.where(y[some] > 0, -none / np.maximum(1 - none, 1e-9), 1.0)
