@@ -21,6 +21,7 @@ from cadenza.functions import audio as ax
 from cadenza.operators import batching, coverage, metrics, resume, validate
 from cadenza.plans import evaluate, report
 from cadenza.sources import sinks, tables
+from cadenza.sources.clients import STOPPING
 
 STAGES = ("generate", "asr", "mos", "consistency", "report")
 
@@ -75,6 +76,8 @@ class Run:
                     got = made[r["system"]](r)
                     told = {k: got.get(k) for k in ("status", "voice", "content", "audio_seconds", "error_type")}
                     yield pd.DataFrame([{"system": r["system"], "id": r["id"], "lang": r["lang"], **told, "sentences_sha256": digest}])
+                    if got.get("http_status") in STOPPING:
+                        return  # the service won't answer; what is left stays to be generated
 
         shape = "system string, id string, lang string, status string, voice string, content binary, audio_seconds double, error_type string, sentences_sha256 string"
         sinks.append(todo.repartition("system", "id").mapInPandas(speak, shape).withColumn("wav_sha256", F.sha2("content", 256)), self.path("clips"))

@@ -13,39 +13,44 @@ import re
 import time
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
+from pathlib import Path
 from urllib.parse import quote, urlsplit
 
 from cadenza.operators.validate import InvalidData
 
 Transport = Callable[[str, str, Mapping[str, str], bytes | None], tuple[int, bytes]]
+
+# Fixed values of the services: answers that end a run, final job states, the form of a key, seconds to wait
 STOPPING = (401, 402, 403, 429)
 DONE = ("Completed", "PartiallyCompleted", "Failed")
+KEY = re.compile(r"[A-Za-z0-9._~+/-]{32,512}={0,2}")
+WAIT, POLL = 10, 5
+
+_PLAIN = re.compile(r"(?P<scheme>https?)://(?P<host>\[[0-9A-Fa-f:]+\]|[^/?#@:\[\]\s]+)(:[0-9]+)?(/[^?#\s]*)?")
+_HERE = {"localhost", "127.0.0.1", "[::1]"}
 
 
-def check_url(url: str) -> str:
-    """A plain HTTP(S) address: no credentials, query or fragment."""
-    p = urlsplit(url)
-    if p.scheme not in ("http", "https") or not p.hostname or p.username is not None or p.password is not None or p.query or p.fragment:
+def check_url(url: str) -> re.Match:
+    """A plain HTTP(S) address: scheme, host, port and path only."""
+    found = _PLAIN.fullmatch(url)
+    if not found:
         raise InvalidData("the address must be plain http(s), without credentials, query or fragment")
-    return url
+    return found
 
 
 def key_headers(url: str, env: Mapping[str, str] = os.environ, name: str = "TTS_API_KEY") -> dict[str, str]:
     """The authorization header, from a variable or a file but not both; only over HTTPS or to this machine."""
-    p = urlsplit(check_url(url))
-    key, file = env.get(name, "").strip(), env.get(f"{name}_FILE", "")
-    if key and file:
-        raise InvalidData(f"set {name} or {name}_FILE, not both")
-    if file:
-        with open(file, encoding="utf-8") as f:
-            key = f.read().strip()
-        if not key:
-            raise InvalidData("the key file is empty")
-    if not key:
+    address = check_url(url)
+    sources = {k: env[k] for k in (name, f"{name}_FILE") if env.get(k, "").strip()}
+    if len(sources) > 1:
+        raise InvalidData(f"set one of {' and '.join(sources)}")
+    if not sources:
         return {}
-    if not re.fullmatch(r"[A-Za-z0-9._~+/-]{32,512}={0,2}", key):
-        raise InvalidData("the key has another form")
-    if p.scheme == "http" and p.hostname not in ("localhost", "127.0.0.1", "::1"):
+    ((source, told),) = sources.items()
+    key = told.strip() if source == name else Path(told).read_text(encoding="utf-8").strip()
+    if not KEY.fullmatch(key):
+        raise InvalidData("the key is empty or has another form")
+    if address["scheme"] != "https" and address["host"] not in _HERE:
         raise InvalidData("a key needs HTTPS")
     return {"Authorization": f"Bearer {key}"}
 
@@ -60,7 +65,7 @@ def retried(call: Callable[[], tuple[int, bytes]], sleep: Callable[[float], None
         status, body = call()
         if status != 429 or n == tries or give_up(body):
             break
-        sleep(10 * n)
+        sleep(WAIT * n)
     return status, body
 
 
@@ -127,59 +132,74 @@ class BatchTranscriber:
         return raw
 
     def run(self, name: str, records: list[dict], parameters: dict, read: Callable[[dict], bytes], wait: float = 900) -> list[dict]:
+        """The batch's results, from wherever an earlier call got to."""
         identity = {"parameters": parameters, "inputs": records}
-        state = self.store.get(name)
-        if state is None:
-            self.store[name] = {"identity": identity, "creation_pending": True}
-            made = self._call("POST", body={"job_parameters": parameters})
-            state = {"identity": identity, "creation_pending": False, "job_id": made["job_id"], "storage": made["storage_container_type"]}
-            self.store[name] = state
+        state = self.store.get(name) or self._created(name, identity)
         if state["identity"] != identity:
             raise InvalidData("the saved job has other inputs or settings")
-        if state.get("results") is not None:
-            return state["results"]
-        if state.get("creation_pending") or not state.get("job_id"):
-            raise Refused("it isn't known whether the job was created; look at the provider's list first")
-        job = quote(state["job_id"], safe="")
-        told = self._call("GET", f"/{job}/status")
-        if told["job_state"] == "Accepted":
-            if not state.get("uploaded"):
-                links = self._call("POST", "/upload-files", {"job_id": state["job_id"], "files": [r["upload_name"] for r in records]})
-                for r in records:
-                    self._store("PUT", links["upload_urls"][r["upload_name"]]["file_url"], read(r), links["storage_container_type"].startswith("Azure"))
-                state = self.store[name] = state | {"uploaded": True}
-            told = self._call("POST", f"/{job}/start")
+        if "results" not in state:
+            if "job_id" not in state:
+                raise Refused("it isn't known whether the job was created; look at the provider's list first")
+            told = self._ended(self._started(name, read), state["job_id"], wait)
+            found = self.collect(told, records, state["job_id"])
+            state = self._saved(name, job_state=told["job_state"], results=found)
+        return state["results"]
+
+    def _saved(self, name: str, **more) -> dict:
+        self.store[name] = self.store.get(name, {}) | more
+        return self.store[name]
+
+    def _created(self, name: str, identity: dict) -> dict:
+        self._saved(name, identity=identity, creation_pending=True)
+        made = self._call("POST", body={"job_parameters": identity["parameters"]})
+        return self._saved(name, creation_pending=False, job_id=made["job_id"], storage=made["storage_container_type"])
+
+    def _job(self, job_id: str, *path: str) -> str:
+        return "/".join(["", quote(job_id, safe=""), *path])
+
+    def _started(self, name: str, read: Callable[[dict], bytes]) -> dict:
+        """The job's status once it runs; a new job is fed first."""
+        state = self.store[name]
+        told = self._call("GET", self._job(state["job_id"], "status"))
+        if told["job_state"] != "Accepted":
+            return told
+        if not state.get("uploaded"):
+            records = {r["upload_name"]: r for r in state["identity"]["inputs"]}
+            links = self._call("POST", "/upload-files", {"job_id": state["job_id"], "files": [*records]})
+            for file, record in records.items():
+                self._store("PUT", links["upload_urls"][file]["file_url"], read(record), links["storage_container_type"].startswith("Azure"))
+            self._saved(name, uploaded=True)
+        return self._call("POST", self._job(state["job_id"], "start"))
+
+    def _ended(self, told: dict, job_id: str, wait: float) -> dict:
         until = self.clock() + wait
         while told["job_state"] not in DONE:
             if self.clock() >= until:
                 raise TimeoutError("the job still runs; run again to resume it")
-            self.sleep(5)
-            told = self._call("GET", f"/{job}/status")
-        found = self.collect(told, records, state["job_id"])
-        self.store[name] = state | {"job_state": told["job_state"], "results": found}
-        return found
+            self.sleep(POLL)
+            told = self._call("GET", self._job(job_id, "status"))
+        return told
 
     def collect(self, told: dict, records: Iterable[dict], job_id: str) -> list[dict]:
-        by_name: dict[str, dict] = {}
-        for d in told.get("job_details", []):
-            names = [x["file_name"] for x in d.get("inputs", [])]
-            if len(names) != 1 or names[0] in by_name:
-                raise InvalidData("inputs and outputs can't be matched")
-            by_name[names[0]] = d
-        out = []
-        for r in records:
-            d = by_name.get(r["upload_name"], {})
-            made = d.get("outputs", [])
-            if d.get("state") != "Success" or len(made) != 1:
-                out.append({**r, "status": "failed", "reason": d.get("state", "missing_file_result")})
-                continue
-            file = made[0]["file_name"]
-            links = self._call("POST", "/download-files", {"job_id": job_id, "files": [file]})
-            said = json.loads(self._store("GET", links["download_urls"][file]["file_url"]))
-            if not isinstance(said.get("transcript"), str):
-                raise InvalidData("a result without transcript")
-            out.append({**r, "status": "ok", "transcript": said["transcript"], "request_id": said.get("request_id"), "detected_language": said.get("language_code")})
-        return out
+        """Each record with its transcript, or with the reason why there is none."""
+        details = told.get("job_details", [])
+        named = [(x["file_name"], d) for d in details for x in d.get("inputs", [])]
+        by_name = dict(named)
+        if not len(by_name) == len(named) == len(details):
+            raise InvalidData("inputs and outputs can't be matched")
+        return [r | self._outcome(by_name.get(r["upload_name"]), job_id) for r in records]
+
+    def _outcome(self, detail: dict | None, job_id: str) -> dict:
+        if detail is None:
+            return {"status": "failed", "reason": "missing_file_result"}
+        files = [x["file_name"] for x in detail.get("outputs", [])]
+        if detail.get("state") != "Success" or len(files) != 1:
+            return {"status": "failed", "reason": detail.get("state", "missing_file_result")}
+        links = self._call("POST", "/download-files", {"job_id": job_id, "files": files})
+        said = json.loads(self._store("GET", links["download_urls"][files[0]]["file_url"]))
+        if not isinstance(said.get("transcript"), str):
+            raise InvalidData("a result without transcript")
+        return {"status": "ok"} | {to: said.get(at) for to, at in (("transcript", "transcript"), ("request_id", "request_id"), ("detected_language", "language_code"))}
 
 
 def _code(body: bytes) -> str:

@@ -185,7 +185,7 @@ def test_batch_transcriber():
     assert all("api-subscription-key" not in h for _, url, h in service.seen if "s.example" in url) and "KEY" not in json.dumps(store)
     with pytest.raises(validate.InvalidData):
         t.run("en_0000", records, {"model": "other"}, None)
-    store["x"] = {"identity": {"parameters": {}, "inputs": []}, "creation_pending": True}
+    store["x"] = {"identity": {"parameters": {}, "inputs": []}, "creation_pending": True}  # the answer to creation was lost
     with pytest.raises(clients.Refused):
         t.run("x", [], {}, None)
 
