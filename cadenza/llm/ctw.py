@@ -286,9 +286,9 @@ def score(
                 runs.add(*counted(s.keys))
                 words.add(*counted(np.where(s.words == END_WORD, _U(2), s.words)))
                 words.add(np.array([END_WORD]), np.array([piece.num_rows]))
-                if runs.size > 6_000_000:
+                if runs.size > 3_000_000:
                     runs.merge()
-                    if runs.size > 3_000_000:
+                    if runs.size > 1_500_000:
                         yield from flush()
         yield from flush()
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
-The documents are cut into shards (a few MB of text each). In a shard, words become the test
+The documents are cut into shards (``SHARD_BYTES`` of text each). In a shard, words become the test
 vocabulary's ranks, and every suffix that can match a window at all (it begins with enough words of
 that vocabulary in a row) goes into a suffix array, sorted by prefix doubling. Every window of every
 test suffix is then binary-searched in it, all windows at once. The matched range of the array gives
@@ -34,6 +34,7 @@ from .shared import kept
 from .words import ALNUM_FOLDED
 
 BLOCK_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
 
 
 @dataclass
@@ -229,7 +230,7 @@ def _pass(df: DataFrame, told: Broadcast, text: str, more: bool) -> DataFrame:
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
     struct = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())])
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(struct))]
-    return arrow.with_columns(df, text, fields, make)
+    return arrow.with_columns(df, text, fields, make, budget=SHARD_BYTES)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -14,8 +14,8 @@ that fail this, which are small, get a second, finer partitioning; if they fail
 for the family, so no pair is lost.
 
 Signatures meet in packed form. Within those that share one, pairs are formed with one hub. Sizes and
-marks (features counted in ``MARK`` ranges; the counts' distance is at most the sets' difference) rule
-out most pairs that don't link; the others' texts are compared exactly; links give components. Where
+marks (features counted in about half as many ranges as there are; the counts' distance is at most the
+sets' difference) rule out most pairs that don't link; the others' texts are compared exactly; links give components. Where
 the nodes of a hub are still in several components, the marks of nodes of different components are
 compared in the tasks, a share of ``HUBS`` nodes a task. First each node's nearest such pair, then all
 pairs that may link and still are across components, are compared exactly. So a group of near copies costs about a pair for each member, pairs within a
@@ -45,7 +45,7 @@ from .words import SPACED_FOLDED, mix, windows
 _U = np.uint64
 _C = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93)]
 WIDEN = 1.6
-MARK = 128
+LEAST_MARK = 128
 HUBS = 512
 BITS = 24  # of the filter that keeps texts without candidates from being sent
 
@@ -142,6 +142,17 @@ def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     return 100 * both >= share * (low + high - both)
 
 
+def mark(features: np.ndarray) -> bytes:
+    """How many of a set's features are in each of a power of two of equal ranges (255 at most, which only lessens a distance)."""
+    bits = max(LEAST_MARK, len(features) // 2).bit_length() - 1
+    return np.minimum(np.bincount((features >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _folded(marks: list[bytes], size: int) -> np.ndarray:
+    """Marks as rows of ``size`` counts, where longer ones' neighbouring ranges are added."""
+    return np.stack([np.frombuffer(m, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.int32) for m in marks]) if marks else np.zeros((0, size), np.int32)
+
+
 def _close(size: int, mark: np.ndarray, sizes: np.ndarray, marks: np.ndarray, share: int) -> np.ndarray:
     """Which sets may link with one, as far as sizes and marks tell."""
     both = sizes + size
@@ -154,8 +165,11 @@ def _near(pairs: DataFrame, marks: DataFrame, share: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, MARK).astype(np.int16) for i in (3, 5))
-            keep = pa.array(_close(b.column(2).to_numpy(), x, b.column(4).to_numpy(), y, share))
+            keep = []
+            for size_a, mark_a, size_b, mark_b in zip(*[b.column(i).to_pylist() for i in (2, 3, 4, 5)], strict=True):
+                n = min(len(mark_a), len(mark_b))
+                keep.append(bool(_close(size_a, _folded([mark_a], n)[0], np.array([size_b]), _folded([mark_b], n), share)[0]))
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     one = marks.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("mark").alias("ma"))
@@ -175,7 +189,8 @@ def _across(told: DataFrame, comp: DataFrame, marks: DataFrame, share: int, near
     def compare(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("node").to_numpy())
         node, comps, sizes, mine = (table.column(c).to_numpy()[order] for c in ("node", "component", "size", "mine"))
-        mark = np.frombuffer(b"".join(table.column("mark").to_pylist()), np.uint8).reshape(-1, MARK)[order].astype(np.int16)
+        told = table.column("mark").to_pylist()
+        mark = _folded([told[i] for i in order], min(map(len, told)))
         found = []
         for h in np.flatnonzero(mine == table.column("part")[0].as_py()):
             may = np.flatnonzero(comps[h + 1 :] != comps[h]) + h + 1
@@ -241,6 +256,8 @@ def _meet(sent: DataFrame, parts: int) -> DataFrame:
             shift = np.cumsum(n) - n
             own = members[np.arange(int(n.sum())) + np.repeat(f - shift, n)]
             yield pa.RecordBatch.from_arrays([pa.array(name[at : at + 2048]), arrow.lists(own, np.concatenate([[0], np.cumsum(n)]))], names=["name", "members"])
+        del every, members, sums
+        arrow.settled()
 
     return sent.repartition(parts, "part").select("part", "blob").mapInArrow(run, "name long, members array<long>")
 
@@ -269,11 +286,13 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4,
                         new.append(i)
                 held.append(signatures(s, np.array(new, np.int64), share))
                 count += len(held[-1])
-                if count > 4_000_000:
+                if count > 500_000:
                     yield _packed(held)
                     held, count = [], 0
         if held:
             yield _packed(held)
+        del held
+        arrow.settled()
 
     def _packed(held: list[np.ndarray]) -> pa.RecordBatch:
         part, blob = px.packed(px.ordered(np.concatenate(held)), parts)
@@ -320,32 +339,40 @@ def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
     return kept(comp.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, width: int, parts: int) -> DataFrame:
-    """(node, t, size, mark): one text for each of the nodes, and for some others that share a place of the filter with them."""
-    spark = docs.sparkSession
+def _mask(nodes: DataFrame) -> np.ndarray:
+    """A bit for each place that one of the nodes has; 2 MB however many nodes there are."""
     place = F.pmod("node", F.lit(1 << BITS))
     bits = nodes.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()  # 4 KB for each 32,768 places
     mask = np.zeros(((1 << BITS) // 32768 + 2, 4096), np.uint8)
     for r in bits:
         mask[r["k"]] = np.frombuffer(bytes(r["m"]), np.uint8)
-    told = spark.sparkContext.broadcast(mask)
+    return mask
+
+
+def _marked(mask: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Whether each node's place has a bit. A place p > 0 is in bucket 1 + (p - 1) // 32768, at bit (p - 1) % 32768; p = 0 in bucket 0."""
+    at = (nodes.astype(_U) % _U(1 << BITS)).astype(np.int64)
+    bucket, bit = np.where(at > 0, 1 + (at - 1) // 32768, 0), np.where(at > 0, (at - 1) % 32768, 0)
+    return ((mask[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1) > 0
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, width: int, parts: int) -> DataFrame:
+    """(node, t, size, mark): one text for each of the nodes, and for some others that share a place of the filter with them."""
+    told = docs.sparkSession.sparkContext.broadcast(_mask(nodes))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want, seen = told.value, set()
         for batch in batches:
             for piece in arrow.slices(batch, "t"):
                 s = Sets(piece.column(0), width)
-                at = (s.nodes % _U(1 << BITS)).astype(np.int64)
-                # a place p > 0 is in bucket 1 + (p - 1) // 32768, at bit (p - 1) % 32768; p = 0 in bucket 0, bit 0
-                bucket, bit = np.where(at > 0, 1 + (at - 1) // 32768, 0), np.where(at > 0, (at - 1) % 32768, 0)
-                may = (want[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1
                 take = []
-                for i in np.flatnonzero((may > 0) & (s.sizes > 0)).tolist():
+                for i in np.flatnonzero(_marked(want, s.nodes) & (s.sizes > 0)).tolist():
                     if int(s.nodes[i]) not in seen:
                         seen.add(int(s.nodes[i]))
                         take.append(i)
-                marks = [np.minimum(np.bincount((s.sets[i] >> _U(57)).astype(np.int64), minlength=MARK), 255).astype(np.uint8).tobytes() for i in take]
+                marks = [mark(s.sets[i]) for i in take]
                 yield pa.RecordBatch.from_arrays([pa.array(s.nodes[take].astype(np.int64)), piece.column(0).take(pa.array(take, pa.int64())), pa.array(s.sizes[take]), pa.array(marks, pa.binary())], names=["node", "t", "size", "mark"])
+        arrow.settled()
 
     sent = docs.mapInArrow(texts, "node long, t string, size long, mark binary").repartition(parts, "node")
     return sent.dropDuplicates(["node"])
@@ -365,6 +392,15 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, share: int) -> Dat
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
+    pairs = kept(pairs)
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    told = texts.sparkSession.sparkContext.broadcast(_mask(ends))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(told.value, batch.column(0).to_numpy())))
+
+    texts = texts.select("node", "t").mapInArrow(needed, "node long, t string")
     two = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
     four = two.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
     return four.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
