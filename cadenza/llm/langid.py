@@ -9,8 +9,13 @@ has ``BUCKETS`` rows and a column a language, whatever the corpus.
 Training takes about ``rows_per_language`` labelled rows of each language and ``piece`` code points
 at a hashed place of each; these parameters bound what the driver gets.
 A tenth of the sample is left out of training; it sets the softmax's temperature. A text is rejected if
-its calibrated chance is hardly above a guess (1.2 / languages), or below what all but 1 in 500 of the
-right answers on the left-out texts have, whichever is less: texts in two languages are kept.
+either of two measures is below what all but 1 in ``RARE`` of the left-out texts have:
+
+- its calibrated chance, of the right answers on left-out texts and on texts joined of two of them in
+  different languages, so that texts in two languages are kept. A softmax can't tell unlearned languages.
+- its familiarity: the mean over its runs of three bytes of the log of the run's share in the learned
+  language that has it most. Every sampled text is left out once (five folds), and is measured cut to
+  ``LENGTHS`` bytes, since short texts vary more. Texts of fewer than three bytes have none.
 
 Null texts and texts without a letter get the language ``und`` and the score 0, and are rejected.
 With no labelled row at all, every text is ``und``.
@@ -31,6 +36,9 @@ from . import arrow
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
+RARE = 500
+LENGTHS = (4, 8, 16, 32, 64, 128, 256, 512, 1024)
+FLOOR = 1e-6  # the share taken for a run that was never seen
 UNKNOWN = "und"
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -58,6 +66,60 @@ def features(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
+def triples(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket (of ``4 * BUCKETS``) of each run of three bytes without two blanks in a row, and where each text's begin in them."""
+    folded = _FOLD[data].astype(np.uint32)
+    m = max(len(folded) - 2, 0)
+    a, b, c = folded[:m], folded[1 : m + 1], folded[2 : m + 2]
+    end = np.repeat(at[1:], np.diff(at))[:m]
+    fine = (np.arange(3, m + 3) <= end) & ~((b == 0x20) & ((a == 0x20) | (c == 0x20)))
+    place = np.flatnonzero(fine)
+    key = (a[place] << np.uint32(16)) | (b[place] << np.uint32(8)) | c[place]
+    return (key * np.uint32(2654435761)) >> np.uint32(32 - 18), np.searchsorted(place, at)
+
+
+def means(values: np.ndarray, bucket: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """For each text: the mean of its runs' values; 0 without any."""
+    total = np.concatenate([[0.0], np.cumsum(values[bucket], dtype=np.float64)])
+    return (total[edge[1:]] - total[edge[:-1]]) / np.maximum(np.diff(edge), 1)
+
+
+def least_of(sorted_values: np.ndarray) -> float:
+    """What all but 1 in ``RARE`` reach. Of too few values to tell, four deviations below their mean, if that is less."""
+    least = float(sorted_values[len(sorted_values) // RARE])
+    return least if len(sorted_values) >= RARE else min(least, float(sorted_values.mean() - 4 * sorted_values.std()))
+
+
+def familiarity(raw: list[bytes], y: np.ndarray, order: np.ndarray, folds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log share of each run, numbers of runs, the least familiarity at each of them) of labelled texts."""
+    fold = np.empty(len(raw), np.int64)
+    fold[order] = np.arange(len(raw)) % folds
+    shares = np.full((folds + 1, 4 * BUCKETS), FLOOR, np.float32)  # the last one without a fold left out
+    for language in range(int(y.max()) + 1):
+        mine = np.flatnonzero(y == language)
+        bucket, edge = triples(*_joined([raw[i] for i in mine]))
+        of = np.repeat(fold[mine], np.diff(edge))
+        whole = np.bincount(bucket, minlength=4 * BUCKETS)
+        for k in range(folds + 1):
+            counts = whole - np.bincount(bucket[of == k], minlength=4 * BUCKETS)
+            np.maximum(shares[k], counts / max(counts.sum(), 1), out=shares[k], casting="same_kind")
+    shares = np.log2(shares)
+    sizes, least = [], []
+    for length in LENGTHS:
+        some, count = [], []
+        for k in range(folds):
+            cut = [raw[i][:length] for i in np.flatnonzero(fold == k) if len(raw[i]) >= length]
+            bucket, edge = triples(*_joined(cut))
+            has = np.diff(edge) > 0
+            some.append(means(shares[k], bucket, edge)[has])
+            count.append(np.diff(edge)[has])
+        some, count = np.sort(np.concatenate(some)), np.concatenate(count)
+        if len(some) >= 20:
+            sizes.append(float(count.mean()))
+            least.append(least_of(some))
+    return shares[folds], np.array(sizes), np.array(least)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -65,6 +127,17 @@ class Model:
     bias: np.ndarray
     temperature: float
     least: float
+    shares: np.ndarray | None = None  # of runs of three bytes, logs
+    sizes: np.ndarray | None = None
+    least_familiar: np.ndarray | None = None  # at texts of so many runs
+
+    def unfamiliar(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each text: whether it is like no learned language."""
+        if self.shares is None or not len(self.sizes):
+            return np.zeros(len(at) - 1, bool)
+        bucket, edge = triples(data, at)
+        n = np.diff(edge)
+        return (n > 0) & (means(self.shares, bucket, edge) < np.interp(np.log2(np.maximum(n, 1)), np.log2(self.sizes), self.least_familiar))
 
     def logits(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """A row for each text; texts without a feature have the bias alone."""
@@ -145,7 +218,17 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 6, r
         best = model.chances(data, at)
         right = best.argmax(axis=1) == truth
         sure = np.sort(best.max(axis=1)[right])
-        model.least = float(min(1.2 / len(languages), sure[len(sure) // 500])) if len(sure) else 0.0
+        both = [(i, j) for i, j in zip(rng.choice(held, 2 * RARE), rng.choice(held, 2 * RARE), strict=True) if y[i] != y[j]]
+        if both:
+            mixed = []
+            for i, j in both:
+                n = min(len(raw[i]), len(raw[j]))
+                mixed.append(raw[i][:n] + b" " + raw[j][:n])
+            chances = model.chances(*_joined(mixed))
+            told = chances.argmax(axis=1)
+            sure = np.sort(np.concatenate([sure, chances.max(axis=1)[(told == y[[i for i, _ in both]]) | (told == y[[j for _, j in both]])]]))
+        model.least = least_of(sure) if len(sure) else 0.0
+    model.shares, model.sizes, model.least_familiar = familiarity(raw, y, order)
     return model
 
 
@@ -199,7 +282,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", lang: str =
                 chances = known.chances(data, at)
                 names = np.where(lettered, np.array(known.languages, object)[chances.argmax(axis=1)], UNKNOWN)
                 best = np.where(lettered, chances.max(axis=1), 0.0)
-                low = ~lettered | (best < known.least)
+                low = ~lettered | (best < known.least) | known.unfamiliar(data, at)
             return [pa.array(names, pa.string()), pa.array(best), pa.array(low)]
 
         return work

@@ -353,3 +353,25 @@ def test_pipeline_stages_with_hard_rows(spark, tmp_path):
             assert number == 4 or out.columns == docs.columns
             assert out.count() <= given.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).filter("intact").count() > 30
+
+
+def test_language_rejection_of_unlearned_text(spark):
+    """Known and bilingual texts stay; texts of a language that was left out, of others, and letter junk go."""
+    rng = random.Random(6)
+    docs = queries.table(spark, "/root/testdata/sf0.1", "documents")
+    rows = sorted(((r["doc_id"], r["text"], r["lang"]) for r in docs.filter("length(text) > 200").collect()), key=lambda r: r[0])
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    of = lambda some, lang, n: [t[:1500] for _, t, l in some if l == lang][:n]
+    others = ("en", "es", "fr")
+    model = langid.train([t for l in others for t in of(learned, l, 300)], [l for l in others for _ in of(learned, l, 300)])
+    known = [t for l in others for t in of(held, l, 100)]
+    pairs = [rng.sample(others, 2) for _ in range(200)]
+    both = [rng.choice(of(held, a, 100))[:300] + "\n" + rng.choice(of(held, b, 100))[:300] for a, b in pairs]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(100)) for _ in range(200)]
+    foreign = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由，在尊严和权利上一律平等。", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan."]
+    sets = {"known": known, "both": both, "left out": of(held, "de", 100), "junk": junk, "foreign": foreign}
+    table = fixture.table(spark, [(i, t, name, None) for i, (name, t) in enumerate((n, t) for n, ts in sets.items() for t in ts)])
+    share = {r["score"]: r["r"] for r in langid.identify(table, model, score="chance").groupBy("score").agg(F.avg(F.col("rejected").cast("int")).alias("r")).collect()}
+    assert share["known"] < 0.02 and share["both"] < 0.02
+    assert share["left out"] > 0.95 and share["junk"] > 0.95 and share["foreign"] == 1
