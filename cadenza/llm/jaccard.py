@@ -262,10 +262,11 @@ def _meet(sent: DataFrame, parts: int) -> DataFrame:
     return sent.repartition(parts, "part").select("part", "blob").mapInArrow(run, "name long, members array<long>")
 
 
-def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, share: int = 85, out: str = "component_id", size: str = "n_shingles") -> DataFrame:
+def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, share: int = 85, out: str = "component_id", size: str = "n_shingles", number: str | None = None) -> DataFrame:
     """``df`` with the size of each text's set and the least key that its links reach, itself included.
 
-    Columns of ``df`` with these names are replaced; rows come in no order.
+    A column named ``number`` gets the component's own number, which doesn't hang on keys; it is null for
+    texts without words. Columns of ``df`` with these names are replaced; rows come in no order.
     """
     if not 100 / WIDEN < share <= 100:
         raise ValueError("a pair's sizes must be in neighbouring bands: share has to be above 100 / WIDEN")
@@ -318,14 +319,15 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4,
 
         return work
 
-    keep = [c for c in df.columns if c.lower() not in (out.lower(), size.lower(), "__node")]
+    keep = [c for c in df.columns if c.lower() not in (out.lower(), size.lower(), "__node", (number or out).lower())]
     rows = arrow.with_columns(df.select(*[F.col(f"`{c}`") for c in keep]), text, fields, make)
     ids = arrow.with_columns(df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias(text)), text, fields, make).filter(F.col(size) > 0)
     least = ids.groupBy("__node").agg(F.min("__key").alias("__key")).join(comp.withColumnRenamed("node", "__node"), "__node", "left")
     least = least.select("__node", "__key", F.coalesce("component", "__node").alias("c"))
-    named = least.join(least.groupBy("c").agg(F.min("__key").alias("__least")), "c").select("__node", "__least")
+    named = least.join(least.groupBy("c").agg(F.min("__key").alias("__least")), "c").select("__node", "__least", F.col("c").alias("__number"))
     named = kept(named)
-    return rows.join(named, "__node", "left").select(*[F.col(f"`{c}`") for c in keep], size, F.when(F.col(size) > 0, F.col("__least")).otherwise(F.col(f"`{key}`")).alias(out))
+    extra = [F.when(F.col(size) > 0, F.col("__number")).alias(number)] if number else []
+    return rows.join(named, "__node", "left").select(*[F.col(f"`{c}`") for c in keep], size, F.when(F.col(size) > 0, F.col("__least")).otherwise(F.col(f"`{key}`")).alias(out), *extra)
 
 
 def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:

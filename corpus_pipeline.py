@@ -21,12 +21,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one of least id stays: words in fives, similarity 0.8.
+    """Of each component of linked documents one row stays, that of least id: words in fives, similarity 0.8.
 
-    Rows of one id are one document and stay together; rows without an id go only if their component has one.
+    Rows without an id come last, rows of one id by their hash. Texts without words link with none: of
+    them one row of each id stays, and of those without an id one of each equal row.
     """
-    found = jaccard.join(docs, width=5, share=80, out="__component", size="__size")
-    return found.filter(F.col("doc_id").eqNullSafe(F.col("__component"))).select(*docs.columns)
+    found = jaccard.join(docs, width=5, share=80, out="__component", size="__size", number="__number")
+    row = F.xxhash64(*docs.columns)
+    alone = F.when(F.col("__number").isNull(), F.when(F.col("doc_id").isNull(), row).otherwise(F.xxhash64("doc_id")))
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("doc_id").isNull(), "doc_id", row))
+    return found.groupBy("__number", alone.alias("__alone")).agg(first.alias("__row")).select("__row.*")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -375,3 +375,17 @@ def test_language_rejection_of_unlearned_text(spark):
     share = {r["score"]: r["r"] for r in langid.identify(table, model, score="chance").groupBy("score").agg(F.avg(F.col("rejected").cast("int")).alias("r")).collect()}
     assert share["known"] < 0.02 and share["both"] < 0.02
     assert share["left out"] > 0.95 and share["junk"] > 0.95 and share["foreign"] == 1
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows that repeat an id or have none are copies as well."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(fixture.words(rng, 60)) for _ in range(4))
+    rows = [(3, a), (3, a), (3, a + " more"), (7, a), (None, b), (None, b), (None, b + " more"), (None, c), (9, c), (9, c), (5, d), (5, ""), (5, ""), (None, ""), (None, ""), (None, None)]
+    table = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.keep_one_of_near_copies(spark, table, "")
+    assert out.columns == table.columns and dict(out.dtypes) == dict(table.dtypes)
+    got = Counter((r["doc_id"], (r["text"] or "")[:20]) for r in out.collect())
+    assert got == Counter([(3, a[:20]), (None, b[:20]), (9, c[:20]), (5, d[:20]), (5, ""), (None, ""), (None, "")])
