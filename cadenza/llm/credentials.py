@@ -4,15 +4,17 @@ Three kinds are found by themselves, leftmost and without overlap within a kind:
 credential's name, an assignment sign and a value of six characters or more), ``access`` (access
 identifiers of twenty characters or more) and ``hex`` (runs of 24 hexadecimal digits or more).
 
-Weak candidates say nothing alone: a token of mixed letters and digits, a URL or host with a port.
-They are reported only where the parts complement each other. Each access identifier opens a scope, its
-span widened by ``SCOPE`` bytes to either side; candidates are interval-joined to the scopes by a sweep
-over their sorted starts. A weak token inside the scope of an access
-identifier is reported as ``part_secret``; an endpoint inside the scope of an access identifier that
+Weak candidates say nothing alone: a token of mixed letters and digits, a URL or host with a port, an
+access identifier of another form (a known prefix, or a value with a digit that is named as an id).
+They are reported only where the parts complement each other. Each access identifier, weak ones too,
+opens a scope, its span widened by ``SCOPE`` code points to either side; candidates are interval-joined
+to the scopes they overlap, however far they reach out of them. A weak token in the scope of an access
+identifier is reported as ``part_secret``; an endpoint in the scope of an access identifier that
 also has a secret part (an assignment, a long hex run or a weak token) is reported as
-``part_endpoint``. Weak candidates that overlap what the first three kinds found are left to those.
+``part_endpoint``, a weak identifier with a secret part in its own scope as ``part_access``.
+Weak candidates that overlap what the first three kinds found are left to those.
 
-Only rows with an access identifier are searched for weak candidates, as no other row can link.
+Only rows with an access identifier, weak ones too, are searched for weak candidates, as no other row can link.
 Null and empty texts have no spans. Offsets are code points, ends exclusive.
 """
 
@@ -30,11 +32,17 @@ from pyspark.sql import types as T
 from . import arrow
 
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = (*BASE_KINDS, "part_secret", "part_endpoint")
+KINDS = (*BASE_KINDS, "part_secret", "part_endpoint", "part_access")
 SCOPE = 300
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 _NAMES = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+_OTHER = re.compile(
+    rb"""(?<![A-Za-z0-9])(?:(?:ASIA|AIDA|AROA|AGPA)[A-Z0-9]{12,}|LTAI[A-Za-z0-9]{12,}|AIza[A-Za-z0-9_-]{30,}|GOOG1?[A-Z0-9]{16,})"""
+    rb"""|(?:access[_-]?key(?:[_-]?id)?|access[_-]?id|key[_-]?id|client[_-]?id|account[_-]?(?:id|key)|app[_-]?id)["']?\x20*[:=]\x20*["']?(?=[A-Za-z_.-]*[0-9])[A-Za-z0-9_.-]{6,}""",
+    re.IGNORECASE,
+)
+_HINTS = (b"asia", b"aida", b"aroa", b"agpa", b"ltai", b"aiza", b"goog", b"access", b"client", b"account", b"key", b"app")
 _WEAK = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 _ENDPOINT = re.compile(rb"""https?://[^\s"'<>]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}""")
 _HEX = np.zeros(256, bool)
@@ -66,13 +74,25 @@ def overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
 
 
 def within(scopes: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Interval join: (scope, span) for each span inside a scope. Scopes are merged where they overlap and sorted, spans sorted."""
-    out, i = [], 0
+    """Interval join: (scope, span) for each scope and span that overlap. Scopes are sorted and disjoint, spans sorted by start; they may nest."""
+    out, first = [], 0
     for span in spans:
-        while i < len(scopes) and scopes[i][1] < span[1]:
-            i += 1
-        if i < len(scopes) and scopes[i][0] <= span[0]:
+        while first < len(scopes) and scopes[first][1] <= span[0]:  # ends before this span's and all later starts
+            first += 1
+        i = first
+        while i < len(scopes) and scopes[i][0] < span[1]:
             out.append((scopes[i], span))
+            i += 1
+    return out
+
+
+def widened(raw: bytes, spans: list[tuple[int, int]], scope: int) -> list[tuple[int, int]]:
+    """The spans with ``scope`` code points more at either side, within the text."""
+    begins = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    out = []
+    for s, e in spans:
+        low, high = max(int(np.searchsorted(begins, s)) - scope, 0), int(np.searchsorted(begins, e)) + scope
+        out.append((int(begins[low]), int(begins[high]) if high < len(begins) else len(raw)))
     return out
 
 
@@ -92,20 +112,23 @@ def scan(raw: bytes, hexes: list[tuple[int, int]], scope: int = SCOPE) -> list[t
     assigns = [m.span() for m in _ASSIGN.finditer(raw) if len(m[2]) >= 6] if any(n in low for n in _NAMES) else []
     access = [m.span() for m in _ACCESS.finditer(raw) if len(m[0]) >= 20] if b"AKIA" in raw else []
     found = [("assign", *x) for x in assigns] + [("access", *x) for x in access] + [("hex", *x) for x in hexes]
-    if access:
-        base = merged([*assigns, *access, *hexes])
-        scopes = merged([(s - scope, e + scope) for s, e in access])
+    base = merged([*assigns, *access, *hexes]) if access or any(h in low for h in _HINTS) else []
+    others = [m.span() for m in _OTHER.finditer(raw) if not overlaps(base, *m.span())] if access or any(h in low for h in _HINTS) else []
+    if access or others:
+        scopes = merged(widened(raw, [*access, *others], scope))
         endpoints = [m.span() for m in _ENDPOINT.finditer(raw)]
         taken = merged(endpoints)
         weak = [
             m.span()
             for m in _WEAK.finditer(raw)
-            if re.search(rb"[0-9]", m[0]) and re.search(rb"[A-Za-z]", m[0]) and not overlaps(base, *m.span()) and not overlaps(taken, *m.span())
+            if re.search(rb"[0-9]", m[0]) and re.search(rb"[A-Za-z]", m[0]) and not overlaps(base, *m.span()) and not overlaps(taken, *m.span()) and not overlaps(others, *m.span())
         ]
-        linked = [span for _, span in within(scopes, weak)]
+        linked = sorted({span for _, span in within(scopes, weak)})
         found += [("part_secret", *x) for x in linked]
         armed = {where for where, _ in within(scopes, sorted([*assigns, *hexes, *linked]))}
-        found += [("part_endpoint", *x) for where, x in within(scopes, endpoints) if where in armed and not overlaps(base, *x)]
+        found += [("part_endpoint", *x) for x in sorted({x for where, x in within(scopes, endpoints) if where in armed}) if not overlaps(base, *x)]
+        secrets = merged([*assigns, *hexes, *linked])
+        found += [("part_access", *x) for x, around in zip(others, widened(raw, others, scope), strict=True) if overlaps(secrets, *around)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -389,3 +389,18 @@ def test_one_row_of_each_component_stays(spark):
     assert out.columns == table.columns and dict(out.dtypes) == dict(table.dtypes)
     got = Counter((r["doc_id"], (r["text"] or "")[:20]) for r in out.collect())
     assert got == Counter([(3, a[:20]), (None, b[:20]), (9, c[:20]), (5, d[:20]), (5, ""), (None, ""), (None, "")])
+
+
+def test_secret_parts_link_over_scope_edges(spark):
+    key = "AKIA" + "ABCDEFGH12345678"
+    token, url = "Zx9" * 200, "https://db.example/x"
+    nested = "token=" + "0a" * 15 + "zy" * 300  # the assignment reaches past the scope
+    texts = [f"{key} {token}", f"{key} " + "z " * 140 + token, f"{key} {'é ' * 140}Zx9Zx9Zx9Zx9Zx9Zx9", f"{key} {url} {nested}", f"aws_access_key_id: ASIAABCDEFGH12345678 Zx9Zx9Zx9Zx9Zx9Zx9 {url}",
+             "client_id = shop-4711 key Zx9Zx9Zx9Zx9Zx9Zx9", "client_id = shop-4711 alone", f"{key} {'é ' * 160}Zx9Zx9Zx9Zx9Zx9Zx9", "Asia and the key to apps"]
+    got = credentials.find_secrets(fixture.table(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    kinds = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in got}
+    assert kinds[0] == kinds[1] == kinds[2] == {"access", "part_secret"}
+    assert kinds[3] == {"access", "assign", "hex", "part_endpoint"} and kinds[4] == {"part_access", "part_secret", "part_endpoint"}
+    assert kinds[5] == {"part_access", "part_secret"} and kinds[6] == kinds[8] == set() and kinds[7] == {"access"}
+    # a long assignment past the first scope doesn't hide a hex run that is nested in it
+    assert credentials.within([(0, 10), (30, 40)], [(5, 90), (8, 9), (32, 35), (50, 60)]) == [((0, 10), (5, 90)), ((30, 40), (5, 90)), ((0, 10), (8, 9)), ((30, 40), (32, 35))]
