@@ -4,7 +4,9 @@ The documents are cut into shards (``SHARD_BYTES`` of text each). In a shard, wo
 vocabulary's ranks, and every suffix that can match a window at all (it begins with enough words of
 that vocabulary in a row) goes into a suffix array, sorted by prefix doubling. Every window of every
 test suffix is then binary-searched in it, all windows at once. The matched range of the array gives
-the locations; matches at neighbouring places join into the longest verbatim matches.
+the locations. Matches at neighbouring places of a document and of one item, in step, join into the
+longest verbatim matches, each with its item and both places (``verbatim``). Without regard to items,
+the hit words join into stretches (``matches``), which may run over several items' text.
 
 A test item's windows are its runs of ``size`` words; an item of fewer words, but not none, is one
 window. Nothing depends on where shards are cut, as no document is in two.
@@ -13,8 +15,8 @@ The test items are broadcast in blocks of about ``BLOCK_BYTES`` of text; with mo
 a pass over the documents that unites its hits with those so far (written out after every fourth), so
 a benchmark of any size is matched in bounded memory.
 
-Null texts have no words. An item with a null id counts for hits but is not listed. Repeated ids
-count once.
+Null texts have no words. An item with a null id counts for hits and verbatim matches (as null) but
+is not listed. Repeated ids are listed once; each of their rows has its own verbatim matches.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ class Tests:
     vocabulary: np.ndarray  # sorted values of the words
     windows: dict[int, np.ndarray]  # length -> distinct rows of ranks (1 .. len(vocabulary)), sorted
     items: dict[int, list[list[str]]]  # length -> for each row the ids of its items
+    names: list[str | None]  # the items' ids
+    places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length -> items' numbers and first words by window, where each window's begin
 
 
 def tests_of(rows: list[tuple[str | None, str]], size: int) -> Tests:
@@ -56,15 +60,20 @@ def tests_of(rows: list[tuple[str | None, str]], size: int) -> Tests:
         own = ranks[edge[i] : edge[i + 1]]
         if len(own):
             n = min(size, len(own))
-            found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(own, n), name))
-    out = Tests(vocabulary, {}, {})
+            found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(own, n), name, i))
+    out = Tests(vocabulary, {}, {}, [name for name, _ in rows], {})
     for n, parts in found.items():
-        every = np.concatenate([w for w, _ in parts])
+        every = np.concatenate([w for w, _, _ in parts])
         out.windows[n], which = np.unique(every, axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        order = np.argsort(which, kind="stable")
+        item = np.concatenate([np.full(len(w), i) for w, _, i in parts])
+        word = np.concatenate([np.arange(len(w)) for w, _, _ in parts])
+        out.places[n] = item[order], word[order], np.searchsorted(which[order], np.arange(len(out.windows[n]) + 1))
         names: list[set] = [set() for _ in range(len(out.windows[n]))]
         k = 0
-        for w, name in parts:
-            for u in which.reshape(-1)[k : k + len(w)]:
+        for w, name, _ in parts:
+            for u in which[k : k + len(w)]:
                 if name is not None:
                     names[u].add(name)
             k += len(w)
@@ -165,6 +174,25 @@ def search(values: np.ndarray, rows: np.ndarray, tests: Tests) -> tuple[np.ndarr
     return np.cumsum(hit[:-1]) > 0, found
 
 
+def longest(place: np.ndarray, which: np.ndarray, n: int, tests: Tests, rows: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item's number, item's first word, document's first word, words) of each longest verbatim match.
+
+    A match that can't be longer is a run of windows at neighbouring places on both sides.
+    """
+    items, words, begin = tests.places[n]
+    count = begin[which + 1] - begin[which]
+    take = np.repeat(begin[which], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    at, item, word = np.repeat(place, count), items[take], words[take]
+    row = np.searchsorted(rows, at, side="right") - 1
+    order = np.lexsort((at, at - word, item, row))
+    row, item, word, at = row[order], item[order], word[order], at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(at) != 1) | (np.diff(word) != 1)
+    first = np.flatnonzero(new)
+    length = np.diff(np.concatenate([first, [len(at)]])) + n - 1
+    yield from zip(row[first].tolist(), item[first].tolist(), word[first].tolist(), (at[first] - rows[row[first]]).tolist(), length.tolist(), strict=True)
+
+
 def blocks(benchmark: DataFrame, item: str, text: str, budget: int) -> Iterator[list[tuple[str | None, str]]]:
     some, used = [], 0
     for r in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).filter("t is not null").toLocalIterator():
@@ -183,7 +211,8 @@ def match(
     """``df`` with what each whole text shares with the benchmark.
 
     ``n_words``, ``n_hit`` (words inside any occurring window), ``items`` (sorted ids, as strings, of the
-    items with occurring windows), ``matches`` (the longest verbatim stretches: first word, words).
+    items with occurring windows), ``matches`` (the stretches of hit words: first word, words), ``verbatim``
+    (the longest verbatim matches, by place: item, the item's first word, the document's first word, words).
     Columns of ``df`` with these names are replaced.
     """
     context = df.sparkSession.sparkContext
@@ -212,7 +241,10 @@ def _pass(df: DataFrame, told: Broadcast, text: str, more: bool) -> DataFrame:
                 for first, spans in zip(rows, column("matches").to_pylist(), strict=False):
                     for s in spans:
                         hit[first + s["first"] : first + s["first"] + s["words"]] = True
+            verbatim: list[list[dict]] = [list(x) for x in column("verbatim").to_pylist()] if more else [[] for _ in range(part.num_rows)]
             for place, which, n in found:
+                for r, i, word, first, length in longest(place, which, n, tests, rows):
+                    verbatim[r].append({"item": tests.names[i], "item_first": word, "first": first, "words": length})
                 row = np.searchsorted(rows, place, side="right") - 1
                 for r, w in np.unique(np.stack([row, which]), axis=1).T:
                     names[r].update(tests.items[n][w])
@@ -223,13 +255,16 @@ def _pass(df: DataFrame, told: Broadcast, text: str, more: bool) -> DataFrame:
                 own = np.concatenate([[0], hit[rows[r] : rows[r + 1]].astype(np.int8), [0]])
                 step = np.diff(own)
                 stretches[r] = [{"first": int(a), "words": int(b - a)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
-            return [pa.array(np.diff(rows)), pa.array(n_hit), pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(stretches, kind)]
+            return [pa.array(np.diff(rows)), pa.array(n_hit), pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(stretches, kind), pa.array([sorted(x, key=by_place) for x in verbatim], exact)]
 
         return work
 
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
+    exact = pa.list_(pa.struct([("item", pa.string()), ("item_first", pa.int32()), ("first", pa.int32()), ("words", pa.int32())]))
+    by_place = lambda m: (m["first"], m["words"], m["item"] or "", m["item_first"])
+    whole = T.StructType([T.StructField("item", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("item_first", "first", "words")]])
     struct = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())])
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(struct))]
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(struct)), T.StructField("verbatim", T.ArrayType(whole))]
     return arrow.with_columns(df, text, fields, make, budget=SHARD_BYTES)
 
 

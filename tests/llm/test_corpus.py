@@ -404,3 +404,25 @@ def test_secret_parts_link_over_scope_edges(spark):
     assert kinds[5] == {"part_access", "part_secret"} and kinds[6] == kinds[8] == set() and kinds[7] == {"access"}
     # a long assignment past the first scope doesn't hide a hex run that is nested in it
     assert credentials.within([(0, 10), (30, 40)], [(5, 90), (8, 9), (32, 35), (50, 60)]) == [((0, 10), (5, 90)), ((30, 40), (5, 90)), ((0, 10), (8, 9)), ((30, 40), (32, 35))]
+
+
+@pytest.mark.parametrize("budget", [decontaminate.BLOCK_BYTES, 60])
+def test_longest_verbatim_matches(spark, budget):
+    """Each with its item and places, where windows of two items and of two places of one item touch."""
+    a, b, c = ([f"{x}{i}" for i in range(25)] for x in "abc")
+    tests = [(1, " ".join(a)), (2, " ".join(b[:12] + c[:12])), (3, "q r"), (None, " ".join(a[3:14]))]
+    texts = [a[5:20] + b[:12], c[:11] + b[1:12] + ["x"] + a[:9], ["q", "r", "q", "r"], b + c]
+    bench = spark.createDataFrame(tests, "item_id long, text string")
+    got = decontaminate.match(fixture.table(spark, [(i, " ".join(t), None, None) for i, t in enumerate(texts)]), bench, budget=budget).collect()
+    words = [(str(k) if k is not None else None, t.split()) for k, t in tests]
+    for r in got:
+        w, want = texts[r["doc_id"]], []
+        for name, v in words:
+            for i in range(len(v)):
+                for j in range(len(w)):
+                    if i and j and v[i - 1] == w[j - 1]:
+                        continue
+                    n = next((k for k in range(len(v) - i + 1) if i + k == len(v) or j + k == len(w) or v[i + k] != w[j + k]))
+                    if n >= min(10, len(v)):
+                        want.append((name, i, j, n))
+        assert sorted(map(tuple, r["verbatim"]), key=repr) == sorted(want, key=repr) and want
