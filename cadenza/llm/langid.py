@@ -18,7 +18,8 @@ either of two measures is below what all but 1 in ``RARE`` of the left-out texts
   ``LENGTHS`` bytes, since short texts vary more. Texts of fewer than three bytes have none.
 
 Null texts and texts without a letter get the language ``und`` and the score 0, and are rejected.
-With no labelled row at all, every text is ``und``.
+With no labelled row to learn from, every text is ``und`` with score 0, and only those are rejected: without
+a model nothing tells that a text is unlike what is wanted.
 """
 
 from __future__ import annotations
@@ -277,7 +278,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", lang: str =
             for i in np.flatnonzero(~lettered & (np.diff(at) > 0)):
                 lettered[i] = _LETTER.search(arrow.row_text(data, at, i)) is not None
             if known is None:
-                names, best, low = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows), np.ones(part.num_rows, bool)
+                names, best, low = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows), ~lettered
             else:
                 chances = known.chances(data, at)
                 names = np.where(lettered, np.array(known.languages, object)[chances.argmax(axis=1)], UNKNOWN)

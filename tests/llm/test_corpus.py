@@ -426,3 +426,11 @@ def test_longest_verbatim_matches(spark, budget):
                     if n >= min(10, len(v)):
                         want.append((name, i, j, n))
         assert sorted(map(tuple, r["verbatim"]), key=repr) == sorted(want, key=repr) and want
+
+
+def test_without_labelled_rows_texts_stay(spark):
+    import corpus_pipeline
+
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["one two three", "vier", "...", "", None])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, table, "").collect()} == {0, 1}
