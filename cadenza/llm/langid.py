@@ -4,10 +4,12 @@ A text's features are its runs of two to four bytes (A-Z folded, every other ASC
 letter taken as one blank, no run across rows), each hashed into ``BUCKETS`` places. A text's vector
 is the mean of its features' embeddings; a linear softmax over it gives the languages. Scoring reads
 whole texts. Embeddings and softmax are multiplied into one table before it, which is broadcast: it
-has ``BUCKETS`` rows and a column a language, whatever the corpus.
+has ``BUCKETS`` rows and a column a language, whatever the corpus. With more languages than an embedding
+has numbers the two stay apart, so that the table doesn't grow with the languages.
 
 Training takes about ``rows_per_language`` labelled rows of each language and ``piece`` code points
-at a hashed place of each; these parameters bound what the driver gets.
+at a hashed place of each; these parameters bound what the driver gets. With many languages each has fewer
+rows, ``max_rows`` in all. No language is left out: more than ``max_languages`` labels are an error.
 A tenth of the sample is left out of training; it sets the softmax's temperature. A text is rejected if
 either of two measures is below what all but 1 in ``RARE`` of the left-out texts have:
 
@@ -124,10 +126,11 @@ def familiarity(raw: list[bytes], y: np.ndarray, order: np.ndarray, folds: int =
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages
+    table: np.ndarray  # BUCKETS x languages, or BUCKETS x numbers of an embedding
     bias: np.ndarray
     temperature: float
     least: float
+    out: np.ndarray | None = None  # from embeddings to languages, if the table is of embeddings
     shares: np.ndarray | None = None  # of runs of three bytes, logs
     sizes: np.ndarray | None = None
     least_familiar: np.ndarray | None = None  # at texts of so many runs
@@ -142,7 +145,7 @@ class Model:
 
     def logits(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """A row for each text; texts without a feature have the bias alone."""
-        total = np.zeros((len(at) - 1, len(self.languages)))
+        total = np.zeros((len(at) - 1, self.table.shape[1]))
         count = np.zeros(len(at) - 1)
         for bucket, inside in features(data, at):
             place = np.flatnonzero(inside)
@@ -152,7 +155,8 @@ class Model:
                 got = self.table[bucket[place]]
                 total[rows] += np.add.reduceat(got, edge[rows], axis=0)
                 count += np.diff(edge)
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        mean = total / np.maximum(count, 1)[:, None]
+        return (mean if self.out is None else mean @ self.out) + self.bias
 
     def chances(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         z = self.logits(data, at) / self.temperature
@@ -205,7 +209,8 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 6, r
             by = np.repeat(np.arange(len(some)), sizes)
             counts = np.bincount(where * len(some) + by, minlength=len(touched) * len(some)).reshape(len(touched), len(some))
             embedding[touched] -= (lr * (counts @ back)).astype(np.float32)
-    model = Model(languages, (embedding @ out).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
+    many = len(languages) > dim
+    model = Model(languages, embedding if many else (embedding @ out).astype(np.float32), bias.astype(np.float64), 1.0, 0.0, out.astype(np.float64) if many else None)
     if len(held):
         data, at = _joined([raw[i] for i in held])
         z, truth = model.logits(data, at), y[held]
@@ -234,18 +239,21 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 6, r
 
 
 def sample(
-    df: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 600, piece: int = 1500, max_languages: int = 500
+    df: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 600, piece: int = 1500, max_languages: int = 1000, max_rows: int = 20_000
 ) -> list[tuple[str, str]]:
     """(text, language) of the sampled pieces.
 
     A count by language gives the share of rows to take; the rows are those whose hash of ``key`` falls
-    within it, so that the sample doesn't hang on their order. ``max_languages``: the most frequent ones
-    are learned.
+    within it, so that the sample doesn't hang on their order. All languages together get about
+    ``max_rows``. More than ``max_languages`` labels raise a ValueError.
     """
     rows = df.filter(allowed & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()
+    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages + 1).collect()
     if not counts:
         return []
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} language labels: none is left out, so merge labels or raise max_languages")
+    rows_per_language = max(1, min(rows_per_language, max_rows // len(counts)))
     shares = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, rows_per_language / r["count"]))])
     start = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.length("t") - piece + 1, F.lit(1))).cast("int")
     few = (

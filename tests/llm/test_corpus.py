@@ -434,3 +434,18 @@ def test_without_labelled_rows_texts_stay(spark):
     rows = [(i, t, None, "s", 1) for i, t in enumerate(["one two three", "vier", "...", "", None])]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, table, "").collect()} == {0, 1}
+
+
+def test_every_language_is_learned_or_an_error_raised(spark):
+    rng = random.Random(3)
+    letters = {f"l{k:02}": [f"{rng.choice('bcdfgh')}{chr(0x100 + 4 * k + j)}{rng.choice('aeiou')}" for j in range(4)] for k in range(30)}
+    rows = [(len(letters) * i + k, " ".join(rng.choices(own, k=30)), l, None) for i in range(20) for k, (l, own) in enumerate(letters.items())]
+    table = fixture.table(spark, rows).withColumnRenamed("score", "lang")
+    with pytest.raises(ValueError, match="more than 29"):
+        langid.fit(table, F.lit(True), max_languages=29)
+    few = Counter(l for _, l in langid.sample(table, F.lit(True), max_rows=300))
+    assert len(few) == 30 and sum(few.values()) < 450
+    model = langid.fit(table, F.lit(True))
+    assert len(model.languages) == 30 and model.table.shape[1] == 16
+    got = langid.identify(table, model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.95 * len(got)
