@@ -255,15 +255,16 @@ END_WORD = _U(1)  # the end's value among words
 
 
 def score(
-    df: DataFrame, learn: Column, text: str = "text", out: str = "score", base: str = "base_score", n_tokens: str = "n_tokens", n_known: str = "n_known", train_tokens: str = "train_tokens"
+    df: DataFrame, learn: Column, text: str = "text", out: str = "score", base: str = "base_score", n_tokens: str = "n_tokens", n_known: str = "n_known", train_tokens: str = "train_tokens", n_bytes: str = "n_bytes", rate: str = "bits_per_byte"
 ) -> DataFrame:
     """``df`` with each whole text's log10 probability, learned from the rows where ``learn`` holds.
 
-    Also the unigram base with add-one smoothing and its counts. Columns of ``df`` with these names are
+    Also the number of coded bytes, the code length in bits per byte, and the unigram base with add-one smoothing
+    and its counts. Columns of ``df`` with these names are
     replaced; rows come in no order.
     """
     spark = df.sparkSession
-    fields = [T.StructField(n_tokens, T.LongType()), T.StructField(n_known, T.LongType()), T.StructField(train_tokens, T.LongType()), T.StructField(base, T.DoubleType()), T.StructField(out, T.DoubleType())]
+    fields = [T.StructField(n_tokens, T.LongType()), T.StructField(n_known, T.LongType()), T.StructField(train_tokens, T.LongType()), T.StructField(base, T.DoubleType()), T.StructField(out, T.DoubleType()), T.StructField(n_bytes, T.LongType()), T.StructField(rate, T.DoubleType())]
     new = {f.name.lower() for f in fields} | {"__block"}
     passed = [f for f in df.schema.fields if f.name.lower() not in new]
     names = [f.name for f in passed]
@@ -370,9 +371,9 @@ def score(
                 n = look[1](s.words) if len(s.words) else np.zeros(0, np.int64)
                 sums = [np.concatenate([[0], np.cumsum(x)]) for x in ((n > 0).astype(np.int64), base_of(n))]
                 known_, base_ = (x[s.rows[1:]] - x[s.rows[:-1]] for x in sums)
-                own = [np.diff(s.rows) + 1, known_ + int(told_end > 0), np.full(piece.num_rows, N), base_ + ends, score_]
+                own = [np.diff(s.rows) + 1, known_ + int(told_end > 0), np.full(piece.num_rows, N), base_ + ends, score_, np.diff(s.at), score_ / -math.log10(2) / np.diff(s.at)]
                 made.append(pa.RecordBatch.from_arrays([*[piece.column(piece.schema.get_field_index(c)) for c in names], *map(pa.array, own)], names=[*names, *[f.name for f in fields]]))
-        kinds = [*[table.schema.field(c).type for c in names], pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        kinds = [*[table.schema.field(c).type for c in names], pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
         return pa.Table.from_batches(made) if made else pa.table([pa.array([], k) for k in kinds], names=[*names, *[f.name for f in fields]])
 
     def base_of(n: np.ndarray) -> np.ndarray:

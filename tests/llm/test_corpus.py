@@ -449,3 +449,14 @@ def test_every_language_is_learned_or_an_error_raised(spark):
     assert len(model.languages) == 30 and model.table.shape[1] == 16
     got = langid.identify(table, model).collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.95 * len(got)
+
+
+def test_ctw_code_length(spark):
+    rows = fixture.documents()
+    got = ctw.score(fixture.table(spark, rows), F.lit(True)).collect()
+    for r in got:
+        words = SPACED.findall(r["text"] or "")
+        assert r["n_bytes"] == max(1, sum(len(w.encode()) + 1 for w in words))
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / r["n_bytes"])
+    none = ctw.score(fixture.table(spark, [(1, "ab", None, None)]), F.lit(False)).first()
+    assert none["n_bytes"] == 3 and none["bits_per_byte"] == pytest.approx(8)
