@@ -14,8 +14,9 @@ bucket, and only the best k of each meeting go on.
 
 Components are floor(1024 x) as integers; products are exact in 64 bits. Vectors that are null, empty
 or hold a null or non-finite component take no part. Vectors of unlike lengths are compared over the
-common coordinates. Ties go to the smaller id. A row with a null id takes no part. Rows of equal ids
-are separate candidates; as queries, equal rows are one.
+common coordinates. Ties go to the smaller id. A row with a null id takes no part. An id stands for
+one vector, as in the query's SQL: no row of a query's own id is its candidate, and ranks are by id.
+Where ids repeat all the same, other ids' rows are separate candidates, and equal query rows are one.
 """
 
 from __future__ import annotations
