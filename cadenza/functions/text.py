@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,8 @@ def _composed(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition: the only step that Spark has no expression for. ASCII-only rows don't need it."""
-    return _composed(text)
+    """Canonical composition: the only step that Spark has no expression for. ASCII texts aren't sent to Python."""
+    return F.coalesce(_composed(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
 
 
 def simplified(text: Column) -> Column:
@@ -50,12 +51,18 @@ def word_edits(reference: Column, hypothesis: Column) -> Column:
     Each distinct word of the pair is one private-use character (planes 15 and 16, 131,068 of them);
     the distance of the encoded strings is the distance of the word sequences.
     """
-    r, h = words(reference), words(hypothesis)
-    known = F.array_distinct(F.concat(r, h))
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(_place(F.array_position(known, w))), 8, "0")), "UTF-32")
-    encoded = lambda ws: F.array_join(F.transform(ws, letter), "")
+    letter = lambda known, w: F.decode(F.unhex(F.lpad(F.hex(_place(F.array_position(known, w))), 8, "0")), "UTF-32")
+    encoded = lambda known, ws: F.array_join(F.transform(ws, lambda w: letter(known, w)), "")
     too_many = F.raise_error(F.lit("more distinct words in a pair than private-use characters"))
-    return F.when(F.size(known) > 131_068, too_many.cast("long")).otherwise(F.levenshtein(encoded(r), encoded(h)).cast("long"))
+
+    def distance(pair: Column) -> Column:
+        known = pair["known"]
+        return F.when(F.size(known) > 131_068, too_many.cast("long")).otherwise(F.levenshtein(encoded(known, pair["r"]), encoded(known, pair["h"])).cast("long"))
+
+    r, h = words(reference), words(hypothesis)
+    # as variables of a function over one pair, the words are split and made distinct once and not for each word
+    pair = F.array(F.struct(r.alias("r"), h.alias("h"), F.array_distinct(F.concat(r, h)).alias("known")))
+    return F.when(reference == hypothesis, F.lit(0).cast("long")).otherwise(F.element_at(F.transform(pair, distance), 1))
 
 
 def _place(n: Column) -> Column:
@@ -63,9 +70,15 @@ def _place(n: Column) -> Column:
     return F.when(n <= 65_534, F.lit(0xF0000) + n - 1).otherwise(F.lit(0x100000) + n - 65_535)
 
 
-def score_text(df: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", compose: bool = True) -> DataFrame:
-    """Edit counts and rates of each pair. ``compose=False`` is for texts that are known to be composed."""
+def score_text(df: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", compose: bool = True, deal: Sequence[str] = ()) -> DataFrame:
+    """Edit counts and rates of each pair. ``compose=False`` is for texts that are known to be composed.
+
+    Scoring takes long for few bytes, so partitions of a size that suits other steps keep few cores busy:
+    with ``deal``, rows are dealt by these columns to as many partitions as the session shuffles to.
+    """
     clean = normalize if compose else simplified
+    if deal:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *deal)
     out = df.withColumns({"normalized_reference": clean(F.col(reference)), "normalized_hypothesis": clean(F.col(hypothesis))})
     r, h = F.col("normalized_reference"), F.col("normalized_hypothesis")
     out = out.withColumns({

@@ -32,7 +32,7 @@ def transcripts(results: DataFrame, items: DataFrame) -> DataFrame:
     validate.require(ok.join(items, "id", "left_anti").select("system", "id"), "results of unknown prompts")
     told = items.select("id", F.col("text").alias("input_text"), tx.reference_of(F.col("spoken_reference"), F.col("text")).alias("reference"), "usecase")
     rows = ok.join(told, "id").withColumns({"hypothesis": F.col("transcript"), "has_digits": tx.has_digits(F.col("input_text"))})
-    return tx.score_text(rows)
+    return tx.score_text(rows, deal=["system", "id"])
 
 
 def failures(results: DataFrame) -> DataFrame:

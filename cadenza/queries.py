@@ -67,7 +67,7 @@ def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Consecutive turns as reference and hypothesis, scored."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("reference"), F.lead("text").over(w).alias("hypothesis"))
-    return tx.score_text(turns.filter("hypothesis IS NOT NULL"))
+    return tx.score_text(turns.filter("hypothesis IS NOT NULL"), deal=["conv_id", "turn"])
 
 
 @query(f"WITH {PAIRS} SELECT conv_id, turn, word_edits, character_edits, reference_words, reference_characters FROM edits")
@@ -184,10 +184,11 @@ def q_cache_reuse_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT lang AS language_code, doc_id AS id, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) / 20) AS BIGINT) AS batch,
-lang || '_' || lpad(CAST(CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) / 20) AS BIGINT) AS VARCHAR), 4, '0') AS batch_key FROM documents""")
+lang || '_' || format('{:04d}', CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) / 20) AS BIGINT)) AS batch_key,
+source, sha256(text) AS text_sha256 FROM documents""")
 def q_batches_of_20(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents").select(F.col("lang").alias("language_code"), F.col("doc_id").alias("id"))
-    return batching.numbered(docs, order=("id",))
+    docs = read(spark, sf, "documents").select(F.col("lang").alias("language_code"), F.col("doc_id").alias("id"), "source", "text")
+    return batching.numbered(docs, order=("id",)).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
 
 
 UNITS = """

@@ -136,6 +136,21 @@ def test_batches(spark):
     assert len(got) == 51 and got["hi", "009", "b"] == "hi_0000" and got["hi", "010", "a"] == "hi_0001" and got["hi", "024", "b"] == "hi_0002" and got["en", "x", "a"] == "en_0000"
 
 
+def test_batches_of_many_rows_with_other_columns(spark, tmp_path):
+    """No row is lost and all numbers are those of one sorted list, whatever columns are read and however often."""
+    rows = spark.range(400_000).select(
+        F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") % 3 == 0, "hi").otherwise("en").alias("language_code"),
+        F.format_string("%06d", F.pmod(F.xxhash64("id"), F.lit(10**6))).alias("id"), F.col("id").alias("system"), F.repeat(F.col("id").cast("string"), 3).alias("text"),
+    )
+    batching.numbered(rows, number=7).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    assert len(got) == 400_000 and got.system.nunique() == 400_000 and (got.text == got.system.astype(str) * 3).all()
+    got = got.sort_values(["id", "system"], kind="stable")
+    want = got.fillna({"language_code": "unknown"}).groupby("language_code", sort=False).cumcount() // 20
+    assert (got.batch == want).all()
+    assert (got.batch_key == got.language_code.fillna("unknown") + "_" + want.astype(str).str.zfill(4)).all()
+
+
 class Service:
     def __init__(self, *answers):
         self.answers, self.seen = list(answers), []
