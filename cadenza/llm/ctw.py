@@ -3,19 +3,21 @@
 A text is scored as its words, A-Z folded, each followed by one blank and the last by a line end (an
 empty text is the line end alone); no word holds either byte, so this is a distribution over word
 sequences. Each byte is eight binary decisions. Every decision, told apart by the bits before it, has
-a context tree over the up to ``DEPTH`` bytes before the byte (line ends before the text). A node of
+a context tree over the up to ``depth`` bytes before the byte (line ends before the text). A node of
 the tree mixes the Krichevsky-Trofimov estimate of its own counts with what its children say, half to
 half a priori and by their likelihood on the training bytes a posteriori; where training never saw the
 longer context, the node's own estimate stands alone.
 
-All counts are of the whole training texts. Runs of DEPTH + 1 bytes are counted in each task and go,
-packed, to the partition of their two latest context bytes; such a partition holds whole subtrees and
-computes their weights bottom-up. What is above (contexts of one byte and none) is one table of 256 x
-256 numbers whatever the corpus; it is the only thing that is broadcast. Texts are dealt to blocks.
-Each block asks for the runs that occur in it, the partitions answer with probabilities, and the
-block adds them up for each text. So the model grows with the corpus and stays distributed.
+All counts are of the whole training texts. Runs of depth + 1 bytes are counted in each task and go,
+packed, to hash ranges, which add up. Only then, each distinct run once, they go to the partition of their two
+latest context bytes; such a partition holds whole subtrees and computes their weights bottom-up. So the
+commonest pair of bytes is as large as its distinct runs are, however often they occur. What is above
+(contexts of one byte and none) is one table of 256 x 256 numbers whatever the corpus; it is the only
+thing that is broadcast. Texts are dealt to blocks. Each block asks the hash ranges for the runs that occur
+in it; these ask the subtrees for each run once, hand the probabilities back to the blocks, and the block
+adds them up for each text. So the model grows with the corpus and stays distributed.
 
-Word counts for the unigram base go the same way.
+Word counts for the unigram base go the same way, but for the subtrees.
 
 Null texts are empty texts. Without training texts every byte has probability 1/256.
 """
@@ -23,7 +25,7 @@ Null texts are empty texts. Without training texts every byte has probability 1/
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,9 @@ from pyspark.sql import types as T
 from . import arrow
 from . import packed as px
 from .shared import kept
-from .words import SPACED_FOLDED
+from .words import SPACED_FOLDED, mix
 
-DEPTH = 5
+DEPTH = 5  # of 7 at most: a run is a 64-bit key
 TOP = 2  # context bytes that choose the partition
 BLOCK_CHARS = 24_000_000
 BLANK, END = 0x20, 0x0A
@@ -61,9 +63,9 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 class Streams:
-    """The canonical bytes of some rows, and the run of DEPTH + 1 bytes that ends in each."""
+    """The canonical bytes of some rows, and the run of depth + 1 bytes that ends in each."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, depth: int):
         data, at = arrow.text_bytes(column)
         starts, ends, self.rows = SPACED_FOLDED.spans(data, at)
         self.words = SPACED_FOLDED.values(data, starts)
@@ -73,9 +75,9 @@ class Streams:
         own = total[self.rows[1:]] - total[self.rows[:-1]]
         own[n == 0] = 1
         self.at = np.concatenate([[0], np.cumsum(own)])  # of each row's own bytes
-        # every row is laid out as DEPTH line ends and its own bytes
-        begin = self.at[:-1] + DEPTH * np.arange(1, len(n) + 1)
-        out = np.full(int(self.at[-1]) + DEPTH * len(n), END, np.uint8)
+        # every row is laid out as depth line ends and its own bytes
+        begin = self.at[:-1] + depth * np.arange(1, len(n) + 1)
+        out = np.full(int(self.at[-1]) + depth * len(n), END, np.uint8)
         if len(starts):
             to = total[:-1] + np.repeat(begin - total[self.rows[:-1]], n)
             size = ends - starts
@@ -85,12 +87,12 @@ class Streams:
             out[to + size] = BLANK
             last = self.rows[1:][n > 0] - 1
             out[to[last] + size[last]] = END
-        m = len(out) - DEPTH
+        m = len(out) - depth
         key = np.zeros(max(m, 0), _U)
-        for i in range(DEPTH, 0, -1):  # the latest context byte on top
+        for i in range(depth, 0, -1):  # the latest context byte on top
             key = key << _U(8) | out[i - 1 : i - 1 + m]
-        key = key << _U(8) | out[DEPTH:]
-        place = np.arange(int(self.at[-1])) + np.repeat(DEPTH * np.arange(len(n)), own)
+        key = key << _U(8) | out[depth:]
+        place = np.arange(int(self.at[-1])) + np.repeat(depth * np.arange(len(n)), own)
         self.keys = key[place]
 
 
@@ -107,15 +109,19 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     return keys[first], np.add.reduceat(weights, first) if len(keys) else weights
 
 
-def part_of(keys: np.ndarray, runs: bool, parts: int) -> np.ndarray:
-    """Runs go by their latest context bytes, words by their value."""
-    mark = (keys >> _U(8 * (DEPTH + 1 - TOP))) * _U(0x9E3779B97F4A7C15) if runs else keys
-    return ((mark >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
+def spread(keys: np.ndarray) -> np.ndarray:
+    """Runs and words go by their hash."""
+    return mix(keys)
 
 
-def dealt(keys: np.ndarray, runs: bool, parts: int) -> list[tuple[int, np.ndarray]]:
-    """(part, places of its keys) for sorted keys."""
-    part = part_of(keys, runs, parts)
+def owned(depth: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Subtrees go by their latest context bytes."""
+    return lambda keys: mix(keys >> _U(8 * (depth + 1 - TOP)))
+
+
+def dealt(keys: np.ndarray, by: Callable[[np.ndarray], np.ndarray], parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, places of its keys) for sorted keys; ``by`` gives a 64-bit value for each key."""
+    part = ((by(keys) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     at = np.searchsorted(part[order], np.arange(parts + 1))
     return [(p, order[at[p] : at[p + 1]]) for p in np.flatnonzero(np.diff(at)).tolist()]
@@ -124,12 +130,13 @@ def dealt(keys: np.ndarray, runs: bool, parts: int) -> list[tuple[int, np.ndarra
 class Tree:
     """The subtrees of one partition: contexts of TOP bytes and more."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
+        self.depth = depth
         self.nodes: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}  # (depth, bits) -> keys, ones' share, own weight
         below: list[tuple[np.ndarray, np.ndarray]] | None = None
         self.up: list[tuple[np.ndarray, ...]] = []
-        for depth in range(DEPTH, TOP - 1, -1):
-            runs, n = counted((keys >> _U(8 * (DEPTH + 1 - depth))) << _U(8) | (keys & _U(255)), counts.astype(np.float64))
+        for depth in range(self.depth, TOP - 1, -1):
+            runs, n = counted((keys >> _U(8 * (self.depth + 1 - depth))) << _U(8) | (keys & _U(255)), counts.astype(np.float64))
             level = []
             for bits in range(8):
                 node = runs >> _U(8 - bits)
@@ -162,9 +169,9 @@ class Tree:
             bit = ((last >> _U(7 - bits)) & _U(1)).astype(bool)
             prefix = last >> _U(8 - bits)
             chance, deeper = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
-            for depth in range(DEPTH, TOP - 1, -1):
+            for depth in range(self.depth, TOP - 1, -1):
                 node, ones, weight = self.nodes[depth, bits]
-                want = (keys >> _U(8 * (DEPTH + 1 - depth))) << _U(bits) | prefix
+                want = (keys >> _U(8 * (self.depth + 1 - depth))) << _U(bits) | prefix
                 at = np.searchsorted(node, want)
                 at[at == len(node)] = 0
                 known = node[at] == want if len(node) else np.zeros(len(keys), bool)
@@ -173,7 +180,7 @@ class Tree:
                     chance = np.where(deeper, weight[at] * own + (1 - weight[at]) * chance, np.where(known, own, chance))
                     deeper |= known
             place = (1 << bits) | prefix.astype(np.int64)
-            latest = (keys >> _U(8 * DEPTH)).astype(np.int64)
+            latest = (keys >> _U(8 * self.depth)).astype(np.int64)
             for ones, weight, known in ((top.ones[latest, place], top.weight[latest, place], top.seen[latest, place]), (top.root_ones[place], top.root_weight[place], np.ones(len(keys), bool))):
                 own = np.where(bit, ones, 1 - ones)
                 chance = np.where(deeper, weight * own + (1 - weight) * chance, np.where(known, own, chance))
@@ -254,21 +261,28 @@ class Counter:
 END_WORD = _U(1)  # the end's value among words
 
 
+def _rows(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=[*kinds])
+
+
 def score(
-    df: DataFrame, learn: Column, text: str = "text", out: str = "score", base: str = "base_score", n_tokens: str = "n_tokens", n_known: str = "n_known", train_tokens: str = "train_tokens", n_bytes: str = "n_bytes", rate: str = "bits_per_byte"
+    df: DataFrame, learn: Column, text: str = "text", out: str = "score", base: str = "base_score", n_tokens: str = "n_tokens", n_known: str = "n_known", train_tokens: str = "train_tokens", n_bytes: str = "n_bytes", rate: str = "bits_per_byte", depth: int = DEPTH
 ) -> DataFrame:
     """``df`` with each whole text's log10 probability, learned from the rows where ``learn`` holds.
 
     Also the number of coded bytes, the code length in bits per byte, and the unigram base with add-one smoothing
-    and its counts. Columns of ``df`` with these names are
-    replaced; rows come in no order.
+    and its counts. Columns of ``df`` with these names are replaced; repeated rows stay; rows come in no
+    order. ``depth``: context bytes, 2 to 7.
     """
+    if not TOP <= depth <= 7:
+        raise ValueError(f"depth must be {TOP} to 7")
     spark = df.sparkSession
     fields = [T.StructField(n_tokens, T.LongType()), T.StructField(n_known, T.LongType()), T.StructField(train_tokens, T.LongType()), T.StructField(base, T.DoubleType()), T.StructField(out, T.DoubleType()), T.StructField(n_bytes, T.LongType()), T.StructField(rate, T.DoubleType())]
     new = {f.name.lower() for f in fields} | {"__block"}
     passed = [f for f in df.schema.fields if f.name.lower() not in new]
     names = [f.name for f in passed]
     parts = px.partitions(spark)
+    whole = {"part": pa.int32(), "kind": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, words = Counter(), Counter()
@@ -276,14 +290,14 @@ def score(
         def flush() -> Iterator[pa.RecordBatch]:
             for kind, counter in ((0, runs), (1, words)):
                 keys, n = counter.merge()
-                rows = [(p, keys[at].tobytes(), n[at].astype(np.int64).tobytes()) for p, at in dealt(keys, kind == 0, parts)]
+                rows = [(p, kind, keys[at].tobytes(), n[at].astype(np.int64).tobytes()) for p, at in dealt(keys, spread, parts)]
                 counter.__init__()
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "kind", "keys", "counts"])
+                    yield _rows(rows, **whole)
 
         for batch in batches:
             for piece in arrow.slices(batch, "t"):
-                s = Streams(piece.column(0))
+                s = Streams(piece.column(0), depth)
                 runs.add(*counted(s.keys))
                 words.add(*counted(np.where(s.words == END_WORD, _U(2), s.words)))
                 words.add(np.array([END_WORD]), np.array([piece.num_rows]))
@@ -292,6 +306,7 @@ def score(
                     if runs.size > 1_500_000:
                         yield from flush()
         yield from flush()
+        arrow.settled()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], Counter] = {}
@@ -300,22 +315,42 @@ def score(
                 held.setdefault((p, kind), Counter()).add(np.frombuffer(keys, _U), np.frombuffer(n, np.int64))
         for (p, kind), counter in held.items():
             keys, n = counter.merge()
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([kind], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([len(keys)]), pa.array([int(n.sum())])], names=["part", "kind", "keys", "counts", "distinct", "total"])
+            yield _rows([(p, kind, keys.tobytes(), n.tobytes(), len(keys), int(n.sum()))], **whole, distinct=pa.int64(), total=pa.int64())
+        arrow.settled()
+
+    def to_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys, n = np.frombuffer(a, _U), np.frombuffer(n, np.int64)
+                yield _rows([(p, keys[at].tobytes(), n[at].tobytes()) for p, at in dealt(keys, owned(depth), parts)], owner=pa.int32(), keys=pa.binary(), counts=pa.binary())
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        for batch in batches:
+            for p, *row in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                held.setdefault(p, []).append(tuple(row))
+        for p, rows in held.items():
+            keys, n = np.frombuffer(b"".join(r[0] for r in rows), _U), np.frombuffer(b"".join(r[1] for r in rows), np.int64)
+            order = np.argsort(keys)
+            yield _rows([(p, keys[order].tobytes(), n[order].tobytes())], owner=pa.int32(), keys=pa.binary(), counts=pa.binary())
 
     shape = "part int, kind int, keys binary, counts binary"
     sent = df.filter(learn).select(F.col(text).alias("t")).mapInArrow(count, shape)
-    model = kept(sent.repartition(parts, "part").mapInArrow(merge, shape + ", distinct long, total long"))
-    told = model.filter("kind = 1").agg(F.sum("distinct"), F.sum("total")).first()
+    sums = kept(sent.repartition(parts, "part").mapInArrow(merge, shape + ", distinct long, total long"))
+    told = sums.filter("kind = 1").agg(F.sum("distinct"), F.sum("total")).first()
     V, N = told[0] or 0, told[1] or 0
+    trees = "owner int, keys binary, counts binary"
+    model = kept(sums.filter("kind = 0").select("keys", "counts").mapInArrow(to_owners, trees).repartition(parts, "owner").mapInArrow(gather, trees))
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for where, n0, n1, said in Tree(np.frombuffer(keys, _U), np.frombuffer(n, np.int64)).up:
+                for where, n0, n1, said in Tree(np.frombuffer(keys, _U), np.frombuffer(n, np.int64), depth).up:
                     u, i = np.unique(where, return_inverse=True)
                     yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), *[pa.array(np.bincount(i, x)) for x in (n0, n1, said)]], names=["at", "n0", "n1", "said"])
+        arrow.settled()
 
-    summed = model.filter("kind = 0").select("keys", "counts").mapInArrow(tops, "at long, n0 double, n1 double, said double")
+    summed = model.select("keys", "counts").mapInArrow(tops, "at long, n0 double, n1 double, said double")
     rows = summed.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "said")]).collect()  # 65,280 rows at most
     top = spark.sparkContext.broadcast(Top([tuple(r) for r in rows]))
 
@@ -324,37 +359,53 @@ def score(
     docs = df.select(*[F.col(f"`{n}`") for n in names], px.block_of(number, *names).alias("__block")).repartition(number, "__block")
 
     def ask(table: pa.Table) -> pa.Table:
-        runs, words, block = Counter(), Counter(), table.column(0)[0].as_py()
+        runs, words, block = Counter(), Counter(), table.column("__block")[0].as_py()
         for batch in table.combine_chunks().to_batches():
-            for piece in arrow.slices(batch, "t"):
-                s = Streams(piece.column(1))
+            for piece in arrow.slices(batch, text):
+                s = Streams(piece.column(piece.schema.get_field_index(text)), depth)
                 for counter, keys in ((runs, s.keys), (words, s.words)):
                     counter.add(*counted(keys))
-        out_rows = []
+        rows = []
         for kind, counter in ((0, runs), (1, words)):
             keys = counter.merge()[0]
-            out_rows += [(p, kind, block, keys[at].tobytes()) for p, at in dealt(keys, kind == 0, parts)]
-        return pa.table([pa.array([r[i] for r in out_rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["part", "kind", "block", "keys"])
+            rows += [(p, kind, block, keys[at].tobytes()) for p, at in dealt(keys, spread, parts)]
+        return pa.Table.from_batches([_rows(rows, part=pa.int32(), kind=pa.int32(), block=pa.int32(), keys=pa.binary())])
 
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        have = {k: (np.frombuffer(a, _U), np.frombuffer(n, np.int64)) for k, a, n in zip(*[known.column(c).to_pylist() for c in ("kind", "keys", "counts")], strict=True)}
+    def keys_of(table: pa.Table, kind: int) -> list[np.ndarray]:
+        return [np.frombuffer(x, _U) for x in table.filter(pa.compute.equal(table.column("kind"), kind)).column("keys").to_pylist()]
+
+    def once(asked: pa.Table) -> pa.Table:
+        runs = keys_of(asked, 0)
+        every = np.unique(np.concatenate([*runs, np.zeros(0, _U)]))
+        rows = [(p, asked.column("part")[0].as_py(), every[at].tobytes()) for p, at in dealt(every, owned(depth), parts)]
+        return pa.Table.from_batches([_rows(rows, owner=pa.int32(), part=pa.int32(), keys=pa.binary())])
+
+    def answer(wanted: pa.Table, known: pa.Table) -> pa.Table:
         none = np.zeros(0, _U), np.zeros(0, np.int64)
-        rows_out: list[tuple] = []
-        for kind in (0, 1):
-            mine = asked.filter(pa.compute.equal(asked.column("kind"), kind))
-            wanted = [np.frombuffer(x, _U) for x in mine.column("keys").to_pylist()]
-            if not wanted:
-                continue
-            every = np.unique(np.concatenate(wanted))
-            keys, n = have.get(kind, none)
-            if kind == 0:
-                values = Tree(keys, n).log10(every, top.value).astype(np.float32)
-            else:
-                at = np.searchsorted(keys, every)
+        have = [(np.frombuffer(a, _U), np.frombuffer(n, np.int64)) for a, n in zip(known.column("keys").to_pylist(), known.column("counts").to_pylist(), strict=True)]
+        asked = [np.frombuffer(x, _U) for x in wanted.column("keys").to_pylist()]
+        rows: list[tuple] = []
+        if asked:
+            every = np.concatenate(asked)  # of different hash ranges: no run twice
+            values = Tree(*(have or [none])[0], depth).log10(every, top.value).astype(np.float32)
+            ends = np.cumsum([len(x) for x in asked])
+            rows = [(p, 0, x.tobytes(), values[z - len(x) : z].tobytes()) for p, x, z in zip(wanted.column("part").to_pylist(), asked, ends, strict=True)]
+        return pa.Table.from_batches([_rows(rows, part=pa.int32(), kind=pa.int32(), keys=pa.binary(), values=pa.binary())])
+
+    def reply(asked: pa.Table, found: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        for kind, dtype in ((0, np.float32), (1, np.int64)):
+            mine = found.filter(pa.compute.equal(found.column("kind"), kind))
+            keys, values = np.frombuffer(b"".join(mine.column("keys").to_pylist()), _U), np.frombuffer(b"".join(mine.column("values").to_pylist()), dtype)
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
+            blocks = asked.filter(pa.compute.equal(asked.column("kind"), kind)).column("block").to_pylist()
+            for block, want in zip(blocks, keys_of(asked, kind), strict=True):
+                at = np.searchsorted(keys, want)
                 at[at == len(keys)] = 0
-                values = np.where(keys[at] == every, n[at], 0).astype(np.int64) if len(keys) else np.zeros(len(every), np.int64)
-            rows_out += [(b, kind, w.tobytes(), values[np.searchsorted(every, w)].tobytes()) for b, w in zip(mine.column("block").to_pylist(), wanted, strict=True)]
-        return pa.table([pa.array([r[i] for r in rows_out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "kind", "keys", "values"])
+                said = np.where(keys[at] == want, values[at], 0).astype(dtype) if len(keys) else np.zeros(len(want), dtype)  # words may be unknown
+                rows.append((block, kind, want.tobytes(), said.tobytes()))
+        return pa.Table.from_batches([_rows(rows, block=pa.int32(), kind=pa.int32(), keys=pa.binary(), values=pa.binary())])
 
     def add_up(table: pa.Table, answers: pa.Table) -> pa.Table:
         look: list[Lookup] = []
@@ -366,7 +417,7 @@ def score(
         made = []
         for batch in table.combine_chunks().to_batches():
             for piece in arrow.slices(batch, text):
-                s = Streams(piece.column(piece.schema.get_field_index(text)))
+                s = Streams(piece.column(piece.schema.get_field_index(text)), depth)
                 score_ = np.add.reduceat(look[0](s.keys).astype(np.float64), s.at[:-1])
                 n = look[1](s.words) if len(s.words) else np.zeros(0, np.int64)
                 sums = [np.concatenate([[0], np.cumsum(x)]) for x in ((n > 0).astype(np.int64), base_of(n))]
@@ -380,6 +431,11 @@ def score(
         return np.log10((n + 1) / (N + V + 1))
 
     told_end = df.filter(learn).count()
-    asked = docs.select("__block", F.col(text).alias("t")).groupBy("__block").applyInArrow(ask, "part int, kind int, block int, keys binary")
-    answers = asked.repartition(parts, "part").groupBy("part").cogroup(model.repartition(parts, "part").groupBy("part")).applyInArrow(answer, "block int, kind int, keys binary, values binary")
-    return docs.groupBy("__block").cogroup(answers.repartition(number, "block").groupBy("block")).applyInArrow(add_up, T.StructType(passed + fields))
+    replies = "block int, kind int, keys binary, values binary"
+    # both passes over the texts read the same columns and share one exchange; so do both over what was asked
+    asked = docs.groupBy("__block").applyInArrow(ask, "part int, kind int, block int, keys binary").repartition(parts, "part")
+    wanted = asked.groupBy("part").applyInArrow(once, "owner int, part int, keys binary").repartition(parts, "owner")
+    answers = wanted.groupBy("owner").cogroup(model.repartition(parts, "owner").groupBy("owner")).applyInArrow(answer, "part int, kind int, keys binary, values binary")
+    found = answers.unionByName(sums.filter("kind = 1").select("part", "kind", "keys", F.col("counts").alias("values"))).repartition(parts, "part")
+    back = asked.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(reply, replies)
+    return docs.groupBy("__block").cogroup(back.repartition(number, "block").groupBy("block")).applyInArrow(add_up, T.StructType(passed + fields))
