@@ -11,9 +11,10 @@ inflected words are caught), hashed into ``BUCKETS`` weights that are never nega
 a sentence toxic, not clean. A word like the one before it counts nothing. The weights are broadcast:
 their number is fixed.
 
-Training takes ``rows_per_label`` labelled rows of each label at most (those of least hash), and of
-these the ones of ``max_chars`` code points at most, as hashed words: these parameters bound what the
-driver gets and what is broadcast.
+Training takes whole documents, as hashed words: ``rows_per_label`` of each label at most, those of least
+hash, and no more of them than ``max_chars`` code points allow (one of each label at least). These
+parameters bound what the driver gets and what is broadcast. A document with several labels is toxic if
+any of them says so; several rows of one id are documents of their own with the same label.
 Features in fewer than ``least_documents`` sampled documents get no weight, and after half of the
 epochs those below ``least_weight`` lose theirs; from then on, sentences without a weighted word have
 no chance to be toxic, so a text's length says nothing. A tenth of the sample is left out; on it, the documents' log odds get their slope and offset.
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,7 @@ SHIFT = np.uint64(44)
 BEGINNINGS = (4, 5, 6)
 WIDTH = 1 + len(BEGINNINGS)
 SILENT = -40.0
+SURE = 4.0
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n\r")] = True
 
@@ -88,9 +90,12 @@ class Model:
         logs = np.concatenate([[0.0], np.cumsum(-np.logaddexp(0, z))])
         return np.minimum(logs[docs[1:]] - logs[docs[:-1]], -1e-12)
 
+    def odds(self, clean: np.ndarray) -> np.ndarray:
+        """Documents' log odds, at most ``SURE`` to either side: a few texts that are far off would else set the slope."""
+        return np.clip(np.log(-np.expm1(clean)) - clean, -SURE, SURE)
+
     def scores(self, clean: np.ndarray) -> np.ndarray:
-        odds = np.log(-np.expm1(clean)) - clean
-        return 1 / (1 + np.exp(-(self.slope * odds + self.offset)))
+        return 1 / (1 + np.exp(-(self.slope * self.odds(clean) + self.offset)))
 
 
 def train(
@@ -144,7 +149,7 @@ def train(
     model.weights[~useful] = 0
     if len(held) and 0 < y[held].sum() < len(held):
         clean = np.array([model.clean(model.sentences(*docs[i]), np.array([0, len(docs[i][1])]))[0] for i in held])
-        odds = np.log(-np.expm1(clean)) - clean
+        odds = model.odds(clean)
         a, b = 1.0, 0.0
         for _ in range(400):  # the slope and offset of least cross-entropy, drawn towards 1 and 0
             q = 1 / (1 + np.exp(-(a * odds + b)))
@@ -156,18 +161,21 @@ def train(
 
 
 def sample(
-    docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", text: str = "text", key: str = "doc_id", rows_per_label: int = 3000, max_chars: int = 20_000
+    docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", text: str = "text", key: str = "doc_id", rows_per_label: int = 3000, max_chars: int = 24_000_000
 ) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
     """The sampled labelled documents, as words and sentence begins, and their labels (0 or 1).
 
     ``allowed``: a condition on ``key`` for rows that may be learned from. Rows of ``labels`` are picked
     by a hash of their key; at most ``rows_per_label`` keys a label are then broadcast to the documents.
+    Of a label's documents by their hash, those that begin within half of ``max_chars`` are taken, whole.
     """
-    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & allowed).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(rows_per_label) for y in (0, 1)]
-    keys = picked[0].unionByName(picked[1]).dropDuplicates(["k"])
-    few = docs.filter(F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    few = few.join(F.broadcast(keys), "k").select("y", "t", F.xxhash64("t", "k").alias("h")).orderBy("h", "t").limit(2 * rows_per_label)
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & allowed).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    keys = [known.filter(F.col("y") == y).orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(rows_per_label) for y in (0, 1)]
+    some = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    some = some.join(F.broadcast(keys[0].unionByName(keys[1])), "k").select("y", "t", F.xxhash64("t", "k").alias("h"))
+    few = some.filter("y = 0").orderBy("h", "t").limit(rows_per_label).unionByName(some.filter("y = 1").orderBy("h", "t").limit(rows_per_label))
+    before = Window.partitionBy("y").orderBy("h", "t").rowsBetween(Window.unboundedPreceding, -1)  # over a sample's rows
+    few = few.withColumn("n", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0))).filter(F.col("n") < max_chars // 2).orderBy("h", "t")
 
     def make():
         def work(part: pa.RecordBatch) -> list:
