@@ -7,9 +7,10 @@ whole texts. Embeddings and softmax are multiplied into one table before it, whi
 has ``BUCKETS`` rows and a column a language, whatever the corpus. With more languages than an embedding
 has numbers the two stay apart, so that the table doesn't grow with the languages.
 
-Training takes about ``rows_per_language`` labelled rows of each language and ``piece`` code points
-at a hashed place of each; these parameters bound what the driver gets. With many languages each has fewer
-rows, ``max_rows`` in all. No language is left out: more than ``max_languages`` labels are an error.
+Training takes whole texts: about ``rows_per_language`` labelled rows of each language, those of least
+hash, and no more of them than ``max_chars`` code points allow (one at least); these parameters bound what
+the driver gets. With many languages each has fewer rows and code points. No language is left out: more
+than ``max_languages`` labels are an error.
 A tenth of the sample is left out of training; it sets the softmax's temperature. A text is rejected if
 either of two measures is below what all but 1 in ``RARE`` of the left-out texts have:
 
@@ -31,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,15 +240,16 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 6, r
 
 
 def sample(
-    df: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 600, piece: int = 1500, max_languages: int = 1000, max_rows: int = 20_000
+    df: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 600, max_chars: int = 8_000_000, max_languages: int = 1000, max_rows: int = 20_000
 ) -> list[tuple[str, str]]:
-    """(text, language) of the sampled pieces.
+    """(text, language) of the sampled rows.
 
     A count by language gives the share of rows to take; the rows are those whose hash of ``key`` falls
     within it, so that the sample doesn't hang on their order. All languages together get about
-    ``max_rows``. More than ``max_languages`` labels raise a ValueError.
+    ``max_rows`` and ``max_chars``, each the same share: of a language's rows by their hash, those that
+    begin within its share of code points are taken, whole. More than ``max_languages`` labels raise a ValueError.
     """
-    rows = df.filter(allowed & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    rows = df.filter(allowed & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
     counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages + 1).collect()
     if not counts:
         return []
@@ -255,14 +257,10 @@ def sample(
         raise ValueError(f"more than {max_languages} language labels: none is left out, so merge labels or raise max_languages")
     rows_per_language = max(1, min(rows_per_language, max_rows // len(counts)))
     shares = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, rows_per_language / r["count"]))])
-    start = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.length("t") - piece + 1, F.lit(1))).cast("int")
-    few = (
-        rows.filter(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.try_element_at(shares, F.col("l")))
-        .select("l", F.substring(F.col("t"), start, F.lit(piece)).alias("t"), F.xxhash64("h", "t").alias("h"))
-        .orderBy("h", "l", "t")
-        .limit(2 * rows_per_language * len(counts))
-    )
-    return [(r["t"], r["l"]) for r in few.collect()]
+    few = rows.filter(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.try_element_at(shares, F.col("l")))
+    before = Window.partitionBy("l").orderBy("h", "t").rowsBetween(Window.unboundedPreceding, -1)  # over a sample's rows
+    few = few.withColumn("n", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0))).filter(F.col("n") < max_chars // len(counts))
+    return [(r["t"], r["l"]) for r in few.orderBy("h", "l", "t").limit(2 * rows_per_language * len(counts)).select("t", "l").collect()]
 
 
 def fit(df: DataFrame, allowed: Column, **bounds) -> Model | None:
