@@ -6,20 +6,24 @@ sets link when intersection : union is at least ``share`` : 100.
 
 Sets of similar sizes differ in at most k features, where k follows from the sizes and the threshold.
 Sizes are cut into bands; the family of a band has all sets that may be in a pair whose smaller set is
-in the band, and one k. The feature domain is partitioned into more than k ranges (a subset of one
-partition each: of PartEnum's enumerations the one with fewest signatures); a set has one signature
-for each range that holds any of its features: the hash of all its features there. If a set has
-features in more than k ranges, every linked set agrees with it in a range that is not empty. Sets
-that fail this, which are small, get a second, finer partitioning; if they fail it too, one signature
-for the family, so no pair is lost.
-
-Signatures meet in packed form. Within those that share one, pairs are formed with one hub. Sizes and
+in the band, and one k. The feature domain is partitioned on two levels. Of more than k / (k2 + 1) first
+partitions, one at least has no more than k2 of a pair's differences. Each is cut into ``SECOND``
+partitions, and all subsets that leave out k2 = ``LEFT_OUT`` of them are enumerated: within that first
+partition, the pair is equal in one of the subsets. A set has one signature for each subset that holds any
+of its features: the hash of all its features there. A first partition is solid if the set has features in
+more than k2 of its second partitions, so that none of its subsets is empty; a set with more than
+k / (k2 + 1) solid ones shares a signature with every set that it links with. Sets that fail this, which are
+small, get finer partitions, each its own subset; if they fail it again, one signature for the family, so no
+pair is lost.
+
+Signatures meet in packed form. Those that share one are paired with one of them, the hub. Sizes and
 marks (features counted in about half as many ranges as there are; the counts' distance is at most the
-sets' difference) rule out most pairs that don't link; the others' texts are compared exactly; links give components. Where
-the nodes of a hub are still in several components, the marks of nodes of different components are
-compared in the tasks, a share of ``HUBS`` nodes a task. First each node's nearest such pair, then all
-pairs that may link and still are across components, are compared exactly. So a group of near copies costs about a pair for each member, pairs within a
-component are not formed, and yet no link that would join two components is missed.
+sets' difference) rule out most pairs that don't link; the others' texts are compared exactly; links give
+components. Where a hub's nodes are not all in its component, those outside are compared with all: both are
+cut into blocks, and a task has a block of either, whose sets it intersects by one sorted list of their
+features. It returns links that join components only. So a group of near copies costs a pair for each
+member, no task holds more than two blocks, pairs within a component are not formed, and no link that would
+join two components is missed.
 
 Components come from hooking to the least neighbour and halving paths, by joins and aggregations.
 
@@ -29,7 +33,9 @@ equal ids are separate rows. A null id doesn't name a component unless all its i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +52,8 @@ _U = np.uint64
 _C = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93)]
 WIDEN = 1.6
 LEAST_MARK = 128
-HUBS = 512
+SECOND, LEFT_OUT = 3, 1  # second partitions of each first one, and how many a subset leaves out
+BLOCK_FEATURES, BLOCK_NODES = 400_000, 512  # of a block of a hub's nodes
 BITS = 24  # of the filter that keeps texts without candidates from being sent
 
 
@@ -61,6 +68,18 @@ def bands(largest: int, share: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(firsts, np.int64), np.array(ks, np.int64)
 
 
+def first_partitions(bad: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many first partitions a family has: the fewest with which most sets of its least size have more than ``bad`` solid ones."""
+    out = np.zeros(len(bad), np.int64)
+    for slack in (4, 8, 12, 16, 20, 25, 30):
+        n = bad + 1 + np.maximum(1, -(-bad * slack // 100))
+        empty = np.exp(-size / (n * SECOND))  # the chance that a second partition has none of the features
+        loose = sum(math.comb(SECOND, i) * (1 - empty) ** i * empty ** (SECOND - i) for i in range(LEFT_OUT + 1))
+        enough = n * (1 - loose) - 1.5 * np.sqrt(n * loose) > bad + 0.5
+        out = np.where((out == 0) & (enough | (slack == 30)), n, out)
+    return out
+
+
 class Sets:
     """The sorted distinct shingles of some rows, one row after the other."""
 
@@ -102,35 +121,49 @@ def signatures(s: Sets, chosen: np.ndarray, share: int) -> np.ndarray:
             if not len(rows):
                 break
             k = ks[fam]
-            n = k + 1 + np.maximum(1, (k + 10) // 10) if level == 0 else 4 * k + 16
-            sig, owner, ranges = _enumerate(s, rows, n, fam, level)
+            second, left_out = (SECOND, LEFT_OUT) if level == 0 else (1, 0)
+            bad = k // (left_out + 1)  # first partitions with more than ``left_out`` differences
+            first = first_partitions(bad, firsts[fam]) if level == 0 else 4 * k + 16
+            sig, owner, solid = _enumerate(s, rows, first, second, left_out, fam, level)
             out.append(np.stack([sig, s.nodes[rows][owner]], axis=1))
-            short = ranges <= k
+            short = solid <= bad
             rows, fam = rows[short], fam[short]
         if len(rows):
             out.append(np.stack([mix(fam.astype(_U) * _C[1] + _C[2]), s.nodes[rows]], axis=1))
     return np.concatenate([*out, np.zeros((0, 2), _U)])
 
 
-def _enumerate(s: Sets, rows: np.ndarray, n: np.ndarray, family: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, the number of each one's row in ``rows``, and how many ranges each row has features in."""
+def _enumerate(s: Sets, rows: np.ndarray, first: np.ndarray, second: int, left_out: int, family: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, the number of each one's row in ``rows``, and how many solid first partitions each row has."""
     sizes = s.sizes[rows]
     shift = np.cumsum(sizes) - sizes
     take = np.arange(int(sizes.sum())) + np.repeat(s.at[rows] - shift, sizes)
     feature = s.flat[take]
+    owner = np.repeat(np.arange(len(rows)), sizes)
     if level:  # another order of the domain
         feature = mix(feature * _C[2])
-        own = np.repeat(np.arange(len(rows)), sizes)
-        order = np.lexsort((feature, own))
-        feature = feature[order]
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    part = (feature >> _U(32)) * np.repeat(n.astype(_U), sizes) >> _U(32)
-    first = np.ones(len(feature), bool)
-    first[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(first)
-    total = np.add.reduceat(mix(feature * _C[1]), first)
-    sig = mix(total + family[owner[first]].astype(_U) * _C[2] + part[first] * _C[0] + _U(level))
-    return sig, owner[first], np.bincount(owner[first], minlength=len(rows))
+        feature = feature[np.lexsort((feature, owner))]
+    cell = (feature >> _U(32)) * np.repeat((first * second).astype(_U), sizes) >> _U(32)
+    new = np.ones(len(feature), bool)
+    new[1:] = (cell[1:] != cell[:-1]) | (owner[1:] != owner[:-1])
+    new = np.flatnonzero(new)
+    total = np.add.reduceat(mix(feature * _C[1]), new)
+    owner, cell = owner[new], cell[new]
+    part, place = cell // _U(second), (cell % _U(second)).astype(np.int64)
+    new = np.ones(len(part), bool)
+    new[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
+    which = np.cumsum(new) - 1
+    owner, part = owner[new], part[new]
+    # a row for each first partition with features: the hash of each second partition's, and whether it has any
+    sums, filled = np.zeros((len(owner), second), _U), np.zeros((len(owner), second), bool)
+    sums[which, place], filled[which, place] = total, True
+    out, owners = [], []
+    for number, subset in enumerate(combinations(range(second), second - left_out)):
+        some = np.flatnonzero(filled[:, subset].any(axis=1))
+        own = sums[np.ix_(some, subset)].sum(axis=1, dtype=_U)
+        out.append(mix(own + family[owner[some]].astype(_U) * _C[2] + part[some] * _C[0] + mix(np.array([2 * number + level + 1], _U))))
+        owners.append(owner[some])
+    return np.concatenate(out), np.concatenate(owners), np.bincount(owner[filled.sum(axis=1) > left_out], minlength=len(rows))
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
@@ -177,31 +210,52 @@ def _near(pairs: DataFrame, marks: DataFrame, share: int) -> DataFrame:
     return kept(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "ma", "sb", "mb").mapInArrow(run, "a long, b long"))
 
 
-def _across(told: DataFrame, comp: DataFrame, marks: DataFrame, share: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of one hub's nodes in different components that may link: all, or each node's nearest."""
-    told = told.join(comp, "node")
-    mixed = told.groupBy("hub").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1 AND n > 2")
-    mixed = mixed.select("hub", F.ceil(F.col("n") / HUBS).cast("int").alias("parts"))
-    # each part has all of the hub's nodes and compares its share of them with the later ones
-    rest = told.join(mixed, "hub").join(marks, "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hub", "part", "mine", "node", "component", "size", "mark")
+def _outside(stars: DataFrame, comp: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
+    """Links (a, b) between a hub's nodes outside its component and all its nodes, enough to join what links."""
+    told = stars.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(stars.select(F.col("a").alias("hub"), F.col("a").alias("node")).distinct())
+    home = comp.select(F.col("node").alias("hub"), F.col("component").alias("home"))
+    told = told.join(comp, "node").join(home, "hub").join(texts.select("node", "size"), "node").withColumn("out", F.col("component") != F.col("home"))
+    told = kept(told.select("hub", "node", "component", "out", "size"))
+    odd = told.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.count_if("out").alias("m"), F.max("size").alias("size")).filter("m > 0 AND n > 2")
+    block = F.greatest(F.lit(8), F.least(F.lit(BLOCK_NODES), F.floor(F.lit(BLOCK_FEATURES) / F.col("size"))))
+    odd = kept(odd.select("hub", F.ceil(F.col("m") / block).cast("int").alias("rows"), F.ceil(F.col("n") / block).cast("int").alias("columns")))
+    dealt = told.drop("size").join(odd, "hub")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    # each pair of blocks, one of nodes outside and one of all, is a task's; every block goes to all of the other kind
+    asking = dealt.filter("out").select("hub", "node", "component", F.lit(True).alias("asks"), mine("rows").alias("row"), upto("columns").alias("column"))
+    asked = dealt.select("hub", "node", "component", F.lit(False).alias("asks"), upto("rows").alias("row"), mine("columns").alias("column"))
+    both = asking.unionByName(asked).join(texts.select("node", "t"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("node").to_numpy())
-        node, comps, sizes, mine = (table.column(c).to_numpy()[order] for c in ("node", "component", "size", "mine"))
-        told = table.column("mark").to_pylist()
-        mark = _folded([told[i] for i in order], min(map(len, told)))
-        found = []
-        for h in np.flatnonzero(mine == table.column("part")[0].as_py()):
-            may = np.flatnonzero(comps[h + 1 :] != comps[h]) + h + 1
-            may = may[_close(sizes[h], mark[h], sizes[may], mark[may], share)]
-            if nearest and len(may):
-                may = may[[np.abs(mark[may] - mark[h]).sum(axis=1).argmin()]]
-            found.append(np.stack([np.full(len(may), node[h]), node[may]], axis=1))
-        flat = np.concatenate([*found, np.zeros((0, 2), np.int64)])
-        return pa.table([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
-
-    return rest.groupBy("hub", "part").applyInArrow(compare, "a long, b long")
+        node, comps, asks = (table.column(c).to_numpy() for c in ("node", "component", "asks"))
+        s = Sets(table.column("t"), width)
+        all_, some = np.flatnonzero(~asks), np.flatnonzero(asks)
+        flat = np.concatenate([*[s.sets[i] for i in all_], np.zeros(0, _U)])
+        order = np.argsort(flat, kind="stable")
+        flat, own = flat[order], np.repeat(np.arange(len(all_)), s.sizes[all_])[order]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        a, b = [], []
+        for i in some:
+            low, high = np.searchsorted(flat, s.sets[i]), np.searchsorted(flat, s.sets[i], side="right")
+            n = high - low
+            shared = np.bincount(own[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(all_))
+            for j in all_[np.flatnonzero(100 * shared >= share * (s.sizes[i] + s.sizes[all_] - shared))]:
+                x, y = find(int(comps[i])), find(int(comps[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return both.groupBy("hub", "row", "column").applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -232,7 +286,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _meet(sent: DataFrame, parts: int) -> DataFrame:
-    """From packed (signature, node) to the groups of nodes with one signature, each distinct group once a partition."""
+    """From packed (signature, node) to pairs (a, b): of the nodes with one signature the least, and each other one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for b in batches for x in b.column(1).to_pylist()]
@@ -241,25 +295,20 @@ def _meet(sent: DataFrame, parts: int) -> DataFrame:
         every = px.ordered(px.unpacked(blobs, 2))
         del blobs
         every = every[np.concatenate([[True], (every[1:] != every[:-1]).any(axis=1)])]
-        first = np.flatnonzero(np.concatenate([[True], every[1:, 0] != every[:-1, 0]]))
-        size = np.diff(np.concatenate([first, [len(every)]]))
-        first, size = first[size > 1], size[size > 1]
-        if not len(first):
+        again = np.concatenate([[False], every[1:, 0] == every[:-1, 0]])
+        hub = np.flatnonzero(~again)[np.cumsum(~again) - 1]
+        pairs = np.stack([every[hub[again], 1], every[again, 1]], axis=1)
+        del every, hub
+        if not len(pairs):
             return
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(every[:, 1] * _C[1]))])
-        name = mix(sums[first + size] - sums[first] + size.astype(_U)) >> _U(1)
-        _, one = np.unique(name, return_index=True)
-        name, first, size = name[one].astype(np.int64), first[one], size[one]
-        members = every[:, 1].astype(np.int64)
-        for at in range(0, len(first), 2048):
-            f, n = first[at : at + 2048], size[at : at + 2048]
-            shift = np.cumsum(n) - n
-            own = members[np.arange(int(n.sum())) + np.repeat(f - shift, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(name[at : at + 2048]), arrow.lists(own, np.concatenate([[0], np.cumsum(n)]))], names=["name", "members"])
-        del every, members, sums
+        pairs = px.ordered(pairs)
+        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])].astype(np.int64)
+        for at in range(0, len(pairs), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + (1 << 16), i]) for i in (0, 1)], names=["a", "b"])
+        del pairs
         arrow.settled()
 
-    return sent.repartition(parts, "part").select("part", "blob").mapInArrow(run, "name long, members array<long>")
+    return sent.repartition(parts, "part").select("part", "blob").mapInArrow(run, "a long, b long")
 
 
 def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, share: int = 85, out: str = "component_id", size: str = "n_shingles", number: str | None = None) -> DataFrame:
@@ -299,16 +348,11 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4,
         part, blob = px.packed(px.ordered(np.concatenate(held)), parts)
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], names=["part", "blob"])
 
-    groups = kept(_meet(docs.mapInArrow(send, "part int, blob binary"), parts))
-    nodes = kept(groups.select(F.explode("members").alias("node")).distinct())
+    stars = kept(_meet(docs.mapInArrow(send, "part int, blob binary"), parts).distinct())
+    nodes = kept(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct())
     texts = kept(_texts(docs, nodes, width, parts))
-    marks = texts.select("node", "size", "mark")
-    stars = groups.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b")).distinct()
-    comp = _relabelled(nodes.select("node", F.col("node").alias("component")), kept(_verified(texts, _near(stars, marks, share), width, share)))
-    # each hub with all that share a signature with it
-    told = kept(stars.unionByName(stars.select("a", F.col("a").alias("b")).distinct()).select(F.col("a").alias("hub"), F.col("b").alias("node")))
-    for nearest in (True, False):  # most components are joined by their members' nearest pairs; the rest are few
-        comp = _relabelled(comp, kept(_verified(texts, _across(told, comp, marks, share, nearest).distinct(), width, share)))
+    comp = _relabelled(nodes.select("node", F.col("node").alias("component")), kept(_verified(texts, _near(stars, texts.select("node", "size", "mark"), share), width, share)))
+    comp = _relabelled(comp, kept(_outside(stars, comp, texts, width, share).distinct()))
 
     fields = [T.StructField(size, T.LongType()), T.StructField("__node", T.LongType())]
 
