@@ -9,8 +9,9 @@ what the rest can add is at most the product of the two remainders' lengths. The
 products are computed and kept.
 
 The k-th best starts at the one among the longest vectors (a sample of at most ``HEAD`` vectors), so
-most buckets are pruned from the first. Queries go in blocks of ``QUERY_BLOCK``; every block meets every
-bucket, and only the best k of each meeting go on.
+most buckets are pruned from the first. Each query goes to the buckets that it must visit, in blocks of about
+``QUERY_BLOCK`` a bucket; a bucket's vectors go to as many blocks as its visitors need, to none if there
+are none. Only the best k of each meeting go on.
 
 Components are floor(1024 x) as integers; products are exact in 64 bits. Vectors that are null, empty
 or hold a null or non-finite component take no part. Vectors of unlike lengths are compared over the
@@ -119,8 +120,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", ve
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n_queries = rows.filter("q").count()
-    n_buckets, n_blocks = max(1, math.ceil(total / bucket)), max(1, math.ceil(n_queries / query_block))
+    n_buckets = max(1, math.ceil(total / bucket))
     top = spark.sparkContext.broadcast((head.column("id").to_numpy().astype(np.int64), matrix(head.column("v"))))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", ve
                 least.append(float(found[-1]) if len(found) == k else -math.inf)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least)], names=["id", "v", "norm", "least"])
 
-    queries = rows.filter("q").select("id", "v", "norm").dropDuplicates(["id", "v"]).mapInArrow(start, "id long, v array<long>, norm double, least double")
+    queries = kept(rows.filter("q").select("id", "v", "norm").dropDuplicates(["id", "v"]).mapInArrow(start, "id long, v array<long>, norm double, least double"))
     # buckets by length: equal shares of the norms' order; where many vectors have one length, a hash of the row cuts further
     cuts = sorted(set(rows.approxQuantile("norm", [i / n_buckets for i in range(1, min(n_buckets, 1024))], 1 / (4 * n_buckets)) if n_buckets > 1 else []), reverse=True)
     group = F.lit(0)
@@ -145,8 +145,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", ve
     offsets = [sum(shards[:g]) for g in range(len(shards))]
     numbers = lambda values: F.array(*[F.lit(x) for x in values])
     place = F.element_at(numbers(offsets), F.col("g") + 1) + F.pmod(F.xxhash64("id", "v"), F.element_at(numbers(shards), F.col("g") + 1)).cast("int")
-    vectors = rows.withColumn("g", group).select("id", "v", place.alias("bucket"))
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).cast("int"))
+    vectors = rows.withColumn("g", group).select("id", "v", "g", place.alias("bucket"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_i, out_s = [], [], []
@@ -163,10 +162,13 @@ def search(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", ve
 
     # a bucket whose greatest length can't give a query's k-th best is not visited
     uppers = F.array(*[F.lit(float(c)) for c in [math.inf, *cuts]])
-    left = blocks.select("id", "v", "least", "norm", "block", F.posexplode(uppers).alias("g", "upper")).filter(F.col("least") <= F.sqrt(F.col("norm")) * F.sqrt("upper") * (1 + 1e-9))
+    left = queries.select("id", "v", "least", "norm", F.posexplode(uppers).alias("g", "upper")).filter(F.col("least") <= F.sqrt(F.col("norm")) * F.sqrt("upper") * (1 + 1e-9))
+    visits = {r["g"]: r["count"] for r in left.groupBy("g").count().collect()}  # 1,024 at most
+    n_blocks = F.element_at(numbers([math.ceil(visits.get(g, 0) / query_block) for g in range(len(shards))]), F.col("g") + 1)
     first = F.element_at(numbers(offsets), F.col("g") + 1)
-    left = left.select("id", "v", "least", "block", F.explode(F.sequence(first, first + F.element_at(numbers(shards), F.col("g") + 1) - 1)).alias("bucket"))
-    right = vectors.select("id", "v", "bucket", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    every = F.explode(F.sequence(first, first + F.element_at(numbers(shards), F.col("g") + 1) - 1)).alias("bucket")
+    left = left.select("id", "v", "least", F.pmod(F.xxhash64("id", "v"), n_blocks).cast("int").alias("block"), every)
+    right = vectors.filter(n_blocks > 0).select("id", "v", "bucket", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
     found = left.groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket")).applyInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
