@@ -11,7 +11,8 @@ counting equal (turn, role, text) on either side, not by lining conversations up
 stay together. If one conversation is the other's beginning, its completion has no rows; if both are
 equal, all is prompt. Conversations without a partner are no pair and have no rows. A null turn comes
 last; a null role is the role ``unknown``, a null text the empty text; rows with a null pair are left
-out. Role marks in a text are broken up, so a text can't open a turn.
+out. Role marks in a text are broken up, so a text can't open a turn. Repeated turns stay, in no order among
+themselves. :func:`paired` makes of the rows one record a pair, where a pair isn't too long for that.
 """
 
 from __future__ import annotations
@@ -39,3 +40,18 @@ def format_preferences(df: DataFrame, pair: Column, is_chosen: Column, turn: str
     rendered = F.concat(F.lit("<|"), F.replace("role", F.lit("|"), F.lit("")), F.lit("|>\n"), F.replace("text", F.lit("<|"), F.lit("< |")), F.lit("<|end|>\n"))
     rows = t.join(ends, "pair_id").filter(~shared | F.col("good"))
     return rows.select("pair_id", part.alias("part"), "turn", "role", rendered.alias("rendered"), (~shared & (F.col("role") == trained)).alias("loss"))
+
+
+def paired(rows: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Of :func:`format_preferences`' rows the records (pair_id, prompt, chosen, rejected), and the rows of longer pairs.
+
+    ``prompt`` is a text, a completion an array of (text, loss) in order of turns; joined texts are what a model
+    reads, and it learns those with ``loss``. Pairs of more than ``most`` rows stay rows, as no group is
+    gathered whatever its size; an empty part is the empty text or array.
+    """
+    size = rows.groupBy("pair_id").count()
+    short, long = (rows.join(size.filter(which).select("pair_id"), "pair_id", "left_semi") for which in (F.col("count") <= most, F.col("count") > most))
+    turns = lambda part: F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("turn", "rendered", "loss"))))
+    told = short.groupBy("pair_id").agg(*[turns(part).alias(part) for part in ("prompt", "chosen", "rejected")])
+    masked = [F.transform(part, lambda t: F.struct(t["rendered"].alias("text"), t["loss"].alias("loss"))).alias(part) for part in ("chosen", "rejected")]
+    return told.select("pair_id", F.array_join(F.transform("prompt", lambda t: t["rendered"]), "").alias("prompt"), *masked), long
