@@ -216,12 +216,15 @@ def match(
     Columns of ``df`` with these names are replaced.
     """
     context = df.sparkSession.sparkContext
-    out, done = df, 0
+    out, done, sent = df, 0, []
     for rows in blocks(benchmark, item, item_text, budget):
-        out = _pass(out, context.broadcast(tests_of(rows, size)), text, done > 0)
+        sent.append(context.broadcast(tests_of(rows, size)))
+        out = _pass(out, sent[-1], text, done > 0)
         done += 1
         if done % 4 == 0:
             out = kept(out)
+            while sent:  # written out: they aren't needed again
+                sent.pop().destroy()
     return out if done else _pass(out, context.broadcast(tests_of([], size)), text, False)
 
 
