@@ -9,36 +9,47 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches between the JVM and Python of a few MB, whatever number of rows that is, unless the session says otherwise.
+
+    By default a batch has 10,000 rows or 64 MB; each task holds some in the JVM and in Python.
+    """
+    if spark.conf.get(_LIMIT, None) is None:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
+@cache
 def _lean() -> Callable[[], object]:
     """Large arrays of this process go back to the system when freed; returns what gives back the rest.
 
-    Workers are reused between tasks; without this, each keeps the most that it ever held.
+    Workers are reused between tasks; without this, each keeps the most that it ever held. Called where
+    rows are cut, so that a process which only imports this stays as it is.
     """
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD, fixed from now on
-        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD, fixed from now on
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
         return lambda: libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         return lambda: None
 
 
-_trim = _lean()
-
-
 def settled() -> None:
-    """Gives freed memory back at the end of a task."""
+    """Gives back freed memory: at the end of a task, and before the first slice of one, as the task before may have left some."""
     pa.default_memory_pool().release_unused()
-    _trim()
+    _lean()()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +78,7 @@ def row_text(data: np.ndarray, at: np.ndarray, row: int) -> str:
 
 def slices(batch: pa.RecordBatch, text: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``budget`` bytes of text."""
+    _lean()
     _, at = text_bytes(batch.column(batch.schema.get_field_index(text)))
     start = 0
     while start < batch.num_rows:
@@ -91,11 +103,13 @@ def with_columns(
     ``make()`` is called once in each task and returns a function from a slice of rows to the new
     columns' arrays. An input column whose name is that of a new one (in any case) is replaced.
     """
+    small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in new]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled()
         work = make()
         for batch in batches:
             for part in slices(batch, text, budget):

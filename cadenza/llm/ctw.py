@@ -277,6 +277,7 @@ def score(
     if not TOP <= depth <= 7:
         raise ValueError(f"depth must be {TOP} to 7")
     spark = df.sparkSession
+    arrow.small_batches(spark)
     fields = [T.StructField(n_tokens, T.LongType()), T.StructField(n_known, T.LongType()), T.StructField(train_tokens, T.LongType()), T.StructField(base, T.DoubleType()), T.StructField(out, T.DoubleType()), T.StructField(n_bytes, T.LongType()), T.StructField(rate, T.DoubleType())]
     new = {f.name.lower() for f in fields} | {"__block"}
     passed = [f for f in df.schema.fields if f.name.lower() not in new]

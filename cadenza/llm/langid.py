@@ -295,4 +295,4 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", lang: str =
         return work
 
     fields = [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(rejected, T.BooleanType())]
-    return arrow.with_columns(df, text, fields, make, budget=1 << 20)
+    return arrow.with_columns(df, text, fields, make, budget=1 << 18)

@@ -121,6 +121,7 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = 35, kept: str
     Columns of ``df`` with these names are replaced; rows come in no order.
     """
     spark = df.sparkSession
+    arrow.small_batches(spark)
     fields = [T.StructField(kept, T.StringType()), T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())]
     new = {f.name.lower() for f in fields} | {"__block"}
     passed = [f for f in df.schema.fields if f.name.lower() not in new]
