@@ -53,6 +53,7 @@ _C = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U
 WIDEN = 1.6
 LEAST_MARK = 128
 SECOND, LEFT_OUT = 3, 1  # second partitions of each first one, and how many a subset leaves out
+MET = 200_000  # signatures that a task sorts together
 BLOCK_FEATURES, BLOCK_NODES = 400_000, 512  # of a block of a hub's nodes
 BITS = 24  # of the filter that keeps texts without candidates from being sent
 
@@ -285,30 +286,44 @@ def components(edges: DataFrame) -> DataFrame:
     return kept(out.select("node", F.col("to").alias("component")))
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Ordered rows, each once."""
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])] if len(rows) else rows
+
+
 def _meet(sent: DataFrame, parts: int) -> DataFrame:
-    """From packed (signature, node) to pairs (a, b): of the nodes with one signature the least, and each other one."""
+    """From packed (signature, node) to pairs (a, b): of the nodes with one signature the least, and each other one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x for b in batches for x in b.column(1).to_pylist()]
-        if not blobs:
-            return
-        every = px.ordered(px.unpacked(blobs, 2))
-        del blobs
-        every = every[np.concatenate([[True], (every[1:] != every[:-1]).any(axis=1)])]
-        again = np.concatenate([[False], every[1:, 0] == every[:-1, 0]])
-        hub = np.flatnonzero(~again)[np.cumsum(~again) - 1]
-        pairs = np.stack([every[hub[again], 1], every[again, 1]], axis=1)
-        del every, hub
-        if not len(pairs):
-            return
-        pairs = px.ordered(pairs)
-        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])].astype(np.int64)
-        for at in range(0, len(pairs), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + (1 << 16), i]) for i in (0, 1)], names=["a", "b"])
-        del pairs
+    A pair that shares several signatures comes from several tasks; pairs go packed to hash ranges of b,
+    where each is taken once.
+    """
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow.settled()
+        rows = [x for b in batches for x in px.views(b.column(1), 2)]
+        found = []
+        for every in px.in_pieces(rows, max(1, sum(map(len, rows)) // MET)):
+            every = _distinct(every)
+            again = np.concatenate([[False], every[1:, 0] == every[:-1, 0]])
+            hub = np.flatnonzero(~again)[np.cumsum(~again) - 1]
+            # nodes have 63 bits, ranges are of 64
+            found.append(_distinct(px.ordered(np.stack([every[again, 1] << _U(1), every[hub[again], 1]], axis=1))))
+        del rows
+        if found:
+            part, blob = px.packed(_distinct(px.ordered(np.concatenate(found))), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], names=["part", "blob"])
+        arrow.settled()
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow.settled()
+        rows = [x for b in batches for x in px.views(b.column(1), 2)]
+        for pairs in px.in_pieces(rows, max(1, sum(map(len, rows)) // MET)):
+            pairs = _distinct(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].astype(np.int64)), pa.array((pairs[:, 0] >> _U(1)).astype(np.int64))], names=["a", "b"])
         arrow.settled()
 
-    return sent.repartition(parts, "part").select("part", "blob").mapInArrow(run, "a long, b long")
+    met = sent.repartition(parts, "part").select("part", "blob").mapInArrow(pair, "part int, blob binary")
+    return met.repartition(parts, "part").select("part", "blob").mapInArrow(once, "a long, b long")
 
 
 def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, share: int = 85, out: str = "component_id", size: str = "n_shingles", number: str | None = None) -> DataFrame:
@@ -320,10 +335,12 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4,
     if not 100 / WIDEN < share <= 100:
         raise ValueError("a pair's sizes must be in neighbouring bands: share has to be above 100 / WIDEN")
     spark = df.sparkSession
+    arrow.small_batches(spark)
     parts = px.partitions(spark)
     docs = df.select(F.col(f"`{text}`").alias("t"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow.settled()
         seen: set[int] = set()
         held, count = [], 0
         for batch in batches:
@@ -336,7 +353,7 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4,
                         new.append(i)
                 held.append(signatures(s, np.array(new, np.int64), share))
                 count += len(held[-1])
-                if count > 500_000:
+                if count > 300_000:
                     yield _packed(held)
                     held, count = [], 0
         if held:
@@ -348,7 +365,7 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4,
         part, blob = px.packed(px.ordered(np.concatenate(held)), parts)
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], names=["part", "blob"])
 
-    stars = kept(_meet(docs.mapInArrow(send, "part int, blob binary"), parts).distinct())
+    stars = kept(_meet(docs.mapInArrow(send, "part int, blob binary"), parts))
     nodes = kept(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct())
     texts = kept(_texts(docs, nodes, width, parts))
     comp = _relabelled(nodes.select("node", F.col("node").alias("component")), kept(_verified(texts, _near(stars, texts.select("node", "size", "mark"), share), width, share)))
@@ -407,6 +424,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, width: int, parts: int) -> DataFra
     told = docs.sparkSession.sparkContext.broadcast(_mask(nodes))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow.settled()
         want, seen = told.value, set()
         for batch in batches:
             for piece in arrow.slices(batch, "t"):

@@ -49,6 +49,27 @@ def unpacked(blobs: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, width)
 
 
+def views(column: pa.Array, width: int) -> list[np.ndarray]:
+    """Each row's keys, without a copy."""
+    offsets, data = (np.frombuffer(b, t) if b is not None else np.zeros(0, t) for b, t in zip(column.buffers()[1:], (np.int64 if pa.types.is_large_binary(column.type) else np.int32, np.uint8), strict=True))
+    at = offsets[column.offset : column.offset + len(column) + 1]
+    return [data[a:z].view(np.uint64).reshape(-1, width) for a, z in zip(at[:-1], at[1:], strict=True)]
+
+
+def in_pieces(rows: list[np.ndarray], number: int) -> Iterator[np.ndarray]:
+    """All keys of some rows, each of which is in order, by ranges of the first word; in order and together in memory only by range."""
+    rows = [r for r in rows if len(r)]
+    if not rows:
+        return
+    low, high = min(int(r[0, 0]) for r in rows), max(int(r[-1, 0]) for r in rows)
+    bounds = np.array([low + (high - low) * i // number for i in range(1, number)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(r[:, 0], bounds), [len(r)]]) for r in rows]
+    for i in range(number):
+        some = [r[c[i] : c[i + 1]] for r, c in zip(rows, cuts, strict=True) if c[i + 1] > c[i]]
+        if some:
+            yield ordered(np.concatenate(some))
+
+
 def recurring(keys: DataFrame, parts: int, width: int) -> DataFrame:
     """From (part, block, blob) to (block, blob): of each block's keys those that occur twice or more in all blocks together.
 
