@@ -28,8 +28,25 @@ def ensure_folder(spark: SparkSession) -> str:
     return told
 
 
+_kept: list[str] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage is cut, and executors may be lost afterwards."""
     path = f"{ensure_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    _kept.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_kept(spark: SparkSession) -> None:
+    """Deletes all tables of :func:`kept` so far: for callers who have written what was derived from them."""
+    while _kept:
+        drop(spark, _kept.pop())

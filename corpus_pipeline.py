@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import bpe, credentials, decontaminate, jaccard, langid, queries
-from cadenza.llm.shared import ensure_folder
+from cadenza.llm.shared import drop, drop_kept, ensure_folder
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again as the next one's documents."""
+    """All stages, each written to the shared folder and read again as the next one's documents.
+
+    What a stage kept aside, and the output of the one before it, are deleted once it is written.
+    """
     folder = f"{ensure_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for number, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{number}-{name}")
-        docs = spark.read.parquet(path)
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path := f"{folder}/{number}-{name}")
+        drop_kept(spark)
+        drop(spark, *before)
+        docs, before = spark.read.parquet(path), [path]
     return docs
