@@ -1,4 +1,3 @@
-import hashlib
 import math
 import random
 import re
@@ -6,7 +5,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,8 +332,22 @@ def test_equals_sql(spark, name):
     assert sorted(map(tuple, df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
 
 
-def test_digest():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and pa.__version__ and np.__version__
+def test_paired_records(spark):
+    turns = [
+        (0, 0, "user", "hi"), (0, 2, "assistant", "good"), (0, 1, "user", "and"), (1, 0, "user", "hi"), (1, 1, "assistant", "bad"), (1, 1, "assistant", "bad"),
+        (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "user", "x"), *[(5, i, "user", "y") for i in range(9)],
+    ]
+    df = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn long, role string, text string, pair_id string")
+    rows = preferences.format_preferences(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
+    records, rest = preferences.paired(rows, most=8)
+    got = {r["pair_id"]: (r["prompt"], [tuple(x) for x in r["chosen"]], [tuple(x) for x in r["rejected"]]) for r in records.collect()}
+    user, bot = "<|user|>\n{}<|end|>\n", "<|assistant|>\n{}<|end|>\n"
+    assert got == {
+        0: (user.format("hi"), [(user.format("and"), False), (bot.format("good"), True)], [(bot.format("bad"), True)] * 2),
+        1: (user.format("same"), [], []),
+    }
+    assert {r["pair_id"] for r in rest.collect()} == {2} and rest.count() == 10
+    assert preferences.format_preferences(df.limit(0), F.col("conv_id"), F.lit(True)).isEmpty()
 
 
 def test_pipeline_stages_with_hard_rows(spark, tmp_path):
