@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -49,9 +49,19 @@ def parse(content: bytes | None) -> dict | None:
     return None
 
 
+def header(content: Column | str) -> Column:
+    """Header of any PCM WAV; all null for other bytes. Files with the plain 44-byte header aren't sent to Python."""
+    content = F.col(content) if isinstance(content, str) else content
+    told = canonical_header(content)
+    # PCM, and the data chunk is where the plain header has it: bytes 17 to 22 are the size of the format and its kind
+    plain = told.isNotNull() & (F.hex(F.substring(content, 17, 6)) == "100000000100") & (told["channels"] > 0) & (told["sample_width"] > 0) & told["frames"].isNotNull()
+    cut = F.length(content) < 44 + told["frames"] * told["channels"] * told["sample_width"]
+    native = F.when(plain, F.struct(*[told[n].alias(n) for n in ("channels", "sample_width", "rate", "frames")], cut.alias("truncated")))
+    return F.coalesce(native, _header(F.when(native.isNull(), content)))
+
+
 @F.pandas_udf(HEADER)
-def header(content: pd.Series) -> pd.DataFrame:
-    """Header of any PCM WAV; all null for other bytes."""
+def _header(content: pd.Series) -> pd.DataFrame:
     names = ["channels", "sample_width", "rate", "frames", "truncated"]
     found = [parse(c) or {} for c in content]
     return pd.DataFrame({n: [x.get(n) for x in found] for n in names}).astype({n: "Int64" for n in names[:4]} | {"truncated": "boolean"})
@@ -112,6 +122,15 @@ def unit_range(x: np.ndarray) -> np.ndarray:
     return np.clip(checked(np.asarray(x, float)), -1.0, 1.0).astype(np.float32)
 
 
+def padded(clips: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Clips as rows of one matrix, zeros behind the shorter ones, and each one's length relative to the longest."""
+    sizes = np.array([len(c) for c in clips])
+    out = np.zeros((len(clips), int(sizes.max()) if len(clips) else 0), np.float32)
+    for row, clip in zip(out, clips, strict=True):
+        row[: len(clip)] = clip
+    return out, (sizes / max(out.shape[1], 1)).astype(np.float32)
+
+
 def scored(df: DataFrame, scorer: Callable[[], Callable[[np.ndarray], tuple[float, float]]], content: str = "content") -> DataFrame:
     """``df`` without its bytes, with ``p808``, ``ovrl`` and ``error_type``.
 

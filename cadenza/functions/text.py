@@ -115,6 +115,11 @@ def reference_of(spoken: Column, text: Column) -> Column:
     return F.coalesce(spoken, text)
 
 
+def voice(mode: Column, lang: Column) -> Column:
+    """A system's voice by its mode: none for '', a language's default female one, the English one, or a named preset."""
+    return F.when(mode == "lang_female", F.concat(lang, F.lit("_female_default"))).when(mode == "en_default", F.lit("en_female_default")).when(mode != "", mode)
+
+
 def strict_base64(text: Column) -> Column:
     """Decoded bytes of canonical padded base64; null for anything else, where the built-in decoder is lenient."""
     fine = text.rlike("^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\\z")

@@ -55,6 +55,11 @@ def on_grid(measured: DataFrame, systems: DataFrame, kinds: Sequence[str] = ("ma
     return measured.unionByName(absent, allowMissingColumns=True)
 
 
+def by_value(measured: DataFrame, kind: str) -> DataFrame:
+    """One kind's slices in order of their value; a null value is sorted as the text ``None``."""
+    return measured.filter(F.col("slice_kind") == kind).orderBy("system", F.coalesce("slice_value", F.lit("None")))
+
+
 def cost(remaining: DataFrame, per_hour: float = 30.0, seconds: str = "audio_seconds") -> DataFrame:
     """Upper bound of what transcription of the clips costs."""
     total = F.coalesce(F.sum(seconds), F.lit(0.0))

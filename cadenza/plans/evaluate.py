@@ -45,10 +45,11 @@ def transcript_summary(rows: DataFrame, systems: DataFrame, n_systems: int, cove
     return metrics.on_grid(metrics.slices(used, metrics.error_rates()), systems)
 
 
-def audio_quality(clips: DataFrame, files: DataFrame, cache: DataFrame | None, scorer: Callable) -> tuple[DataFrame, DataFrame]:
+def audio_quality(clips: DataFrame, files: DataFrame, cache: DataFrame | None, scorer: Callable, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(scores, exceptions): cached values where audio and language are the same, others from ``scorer``.
 
-    ``clips``: the expected ones with status and hash. ``files``: (system, id, content).
+    ``clips``: the expected ones with status and hash. ``files``: (system, id, content). ``keep`` writes what
+    the scorer gave and reads it back, so that it is called once a clip and not for each of the two results.
     """
     hashed = files.select("system", "id", F.sha2("content", 256).alias("sha256"))
     known = clips.join(hashed, ["system", "id"], "left")
@@ -60,7 +61,7 @@ def audio_quality(clips: DataFrame, files: DataFrame, cache: DataFrame | None, s
         reused, todo = usable.limit(0).selectExpr("*", "CAST(NULL AS DOUBLE) p808", "CAST(NULL AS DOUBLE) ovrl"), usable
     else:
         reused, todo = resume.cached(usable, cache)
-    scored = ax.scored(todo.join(files, ["system", "id"]), scorer)
+    scored = keep(ax.scored(todo.join(files, ["system", "id"]), scorer))
     failed = scored.filter("error_type IS NOT NULL").select("system", "id", "lang", F.col("error_type").alias("problem"))
     good = scored.filter("error_type IS NULL").drop("error_type")
     return reused.select(good.columns).unionByName(good), missing.unionByName(changed).unionByName(failed)

@@ -175,7 +175,7 @@ def q_content_sha256(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH c AS (SELECT doc_id AS id, CAST(quality AS DOUBLE) AS p808, CAST(toxic AS DOUBLE) AS ovrl FROM labels)
 SELECT d.doc_id AS id, d.lang, c.p808, c.ovrl, c.id IS NOT NULL AS reused FROM documents d LEFT JOIN c ON d.doc_id = c.id""")
 def q_cache_reuse_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Half of the scores' values are kept; a non-finite one isn't reused (there is none in these labels)."""
+    """Labels stand for cached scores: documents with a label reuse it, the others are to be scored."""
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
     cache = read(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("p808"), F.col("toxic").cast("double").alias("ovrl"))
     reused, todo = resume.cached(docs, cache, on=("id",))
@@ -233,8 +233,10 @@ def q_cost_estimate(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN lang || '_female_default' WHEN doc_id % 4 = 2 THEN 'en_female_default' ELSE source END AS voice,
 coalesce(CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN lang || '_female_default' WHEN doc_id % 4 = 2 THEN 'en_female_default' ELSE source END, 'unknown') AS voice_or_unknown FROM documents""")
 def q_voice_case(spark: SparkSession, sf: str) -> DataFrame:
+    """The modes take turns; a source stands for a preset's name."""
     case = F.col("doc_id") % 4
-    voice = F.when(case == 1, F.concat("lang", F.lit("_female_default"))).when(case == 2, F.lit("en_female_default")).when(case == 3, F.col("source"))
+    mode = F.when(case == 0, "").when(case == 1, "lang_female").when(case == 2, "en_default").otherwise(F.col("source"))
+    voice = tx.voice(mode, F.col("lang"))
     return read(spark, sf, "documents").select("doc_id", voice.alias("voice"), F.coalesce(voice, F.lit("unknown")).alias("voice_or_unknown"))
 
 
@@ -275,12 +277,13 @@ def q_ctc_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return runs.select("user_id", F.array_join(F.transform(kept, lambda x: x.cast("string")), " ").alias("codes")).filter("codes <> ''")
 
 
-@query("""SELECT CAST(floor(user_id / 10) AS BIGINT) AS slice_value, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS view, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS click FROM events
-WHERE event_type IN ('view', 'click') GROUP BY 1""")
+@query("""SELECT CAST(floor(user_id / 10) AS BIGINT) AS slice_value, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS view, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS click,
+CAST(count(*) FILTER (event_type IS NULL OR event_type NOT IN ('view', 'click')) AS BIGINT) AS other FROM events GROUP BY 1""")
 def q_report_rows(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events").filter(F.col("event_type").isin("view", "click")).groupBy(F.floor(F.col("user_id") / 10).alias("slice_value"), F.col("event_type").alias("system")).count()
-    out = metrics.pivoted(e, "count", "slice_value", ["view", "click"])
-    return out.select("slice_value", *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("view", "click")])
+    system = F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).otherwise("other")
+    e = read(spark, sf, "events").groupBy(F.floor(F.col("user_id") / 10).alias("slice_value"), system.alias("system")).count()
+    out = metrics.pivoted(e, "count", "slice_value", ["view", "click", "other"])
+    return out.select("slice_value", *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("view", "click", "other")])
 
 
 @query("""SELECT label, count(*) AS n, round(avg(list_dot_product(e, list_transform(e, lambda x: greatest(-0.5, least(0.5, x))))), 6) AS clipped_dot

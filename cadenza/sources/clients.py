@@ -38,6 +38,12 @@ def check_url(url: str) -> re.Match:
     return found
 
 
+def endpoint(base: str, *path: str) -> str:
+    """A checked address with path parts appended, whether or not it ends in a slash."""
+    check_url(base)
+    return "/".join([base.rstrip("/"), *path])
+
+
 def key_headers(url: str, env: Mapping[str, str] = os.environ, name: str = "TTS_API_KEY") -> dict[str, str]:
     """The authorization header, from a variable or a file but not both; only over HTTPS or to this machine."""
     address = check_url(url)
@@ -190,16 +196,19 @@ class BatchTranscriber:
         return [r | self._outcome(by_name.get(r["upload_name"]), job_id) for r in records]
 
     def _outcome(self, detail: dict | None, job_id: str) -> dict:
-        if detail is None:
-            return {"status": "failed", "reason": "missing_file_result"}
-        files = [x["file_name"] for x in detail.get("outputs", [])]
-        if detail.get("state") != "Success" or len(files) != 1:
-            return {"status": "failed", "reason": detail.get("state", "missing_file_result")}
-        links = self._call("POST", "/download-files", {"job_id": job_id, "files": files})
-        said = json.loads(self._store("GET", links["download_urls"][files[0]]["file_url"]))
-        if not isinstance(said.get("transcript"), str):
-            raise InvalidData("a result without transcript")
-        return {"status": "ok"} | {to: said.get(at) for to, at in (("transcript", "transcript"), ("request_id", "request_id"), ("detected_language", "language_code"))}
+        """What one input came to; only a successful one with a single output is fetched."""
+        outputs = [] if detail is None else [x["file_name"] for x in detail.get("outputs", [])]
+        reason = "no answer for this file" if detail is None else None if detail.get("state") == "Success" else f"state {detail.get('state', 'unknown')}"
+        if reason is None and len(outputs) != 1:
+            reason = f"{len(outputs)} outputs"
+        if reason:
+            return {"status": "failed", "reason": reason}
+        link = self._call("POST", "/download-files", {"job_id": job_id, "files": outputs})["download_urls"][outputs[0]]["file_url"]
+        said = json.loads(self._store("GET", link))
+        fields = {"transcript": said.get("transcript"), "request_id": said.get("request_id"), "detected_language": said.get("language_code")}
+        if any(not isinstance(v, str) for k, v in fields.items() if v is not None or k == "transcript"):
+            raise InvalidData("a result whose transcript or ids are no text")
+        return {"status": "ok", **fields}
 
 
 def _code(body: bytes) -> str:

@@ -332,3 +332,132 @@ def test_stage_runner(spark, tmp_path):
     text = run.report(str(tmp_path / "R.md"))
     assert "| Voice consistency | 1.00 | 1.00 |" in text and (tmp_path / "R.md").read_text() == text
     assert main(["--sentences", str(tmp_path / "items.json"), "--output", str(tmp_path / "none"), "--stage", "report"]) == 1
+
+
+def prompts(tmp_path, n=2):
+    (tmp_path / "items.json").write_text(json.dumps({"items": [{"id": f"{lang}{i}", "lang": lang, "language_code": lang, "text": f"hello {i}"} for lang in ("hi", "en") for i in range(n)]}))
+    return str(tmp_path / "items.json")
+
+
+def said(key, rows):
+    return [{**r, "status": "ok", "transcript": f"hello {r['id'][-1]}"} for r in rows]
+
+
+def test_runner_settings_reuse_and_outputs(spark, tmp_path):
+    from cadenza.plans.run import Run
+
+    sound = wav(b"\1\0\x10\0" * 2400)
+    speak = lambda system: lambda item: {"status": "ok", "content": sound, "audio_seconds": 0.2, "voice": "v"}
+    run = Run(spark, prompts(tmp_path), str(tmp_path / "run"), ["alpha", "beta"])
+    told = {"alpha": {"model": "m1", "endpoint": "https://x.example"}, "beta": {}}
+    run.generate(speak, told)
+    for key, other in (("model", "m2"), ("endpoint", "https://y.example"), ("voice", "w"), ("sample_rate_requested", 8000)):
+        with pytest.raises(validate.InvalidData, match=key):
+            run.generate(speak, {**told, "alpha": {**told["alpha"], key: other}})
+    run.asr(said, settings={"model": "a"}, size=3)
+    summary = json.loads((tmp_path / "run" / "summary.json").read_text())
+    assert summary["coverage_complete"] and summary["scored_clips"] == 8 and summary["matched_ids"] == 4 and summary["config"]["model"] == "a" and summary["created_utc"].endswith("+00:00")
+    assert [x["slice_value"] for x in summary["slices"]["lang"]] == ["en", "hi", "en", "hi"]
+    lines = spark.read.text(str(tmp_path / "run" / "transcripts.tsv")).collect()
+    assert {r[0] for r in lines if r[0].startswith("system")} == {"system\tid\tlang\tusecase\tWER_percent\tCER_percent\treference\tASR_hypothesis"}
+    assert sum(not r[0].startswith("system") for r in lines) == 8 and any(r[0].startswith("alpha\ten0\ten\t") and r[0].endswith("0.0\t0.0\thello 0\thello 0") for r in lines)
+    with pytest.raises(validate.InvalidData, match="model"):
+        run.asr(said, settings={"model": "b"})
+    other = Run(spark, prompts(tmp_path), str(tmp_path / "other"), ["alpha", "beta"])
+    other.generate(speak, told)
+    assert other.asr(None, dry=True, settings={"model": "a"}, reuse=str(tmp_path / "run"))["clips"] == 0
+    other.asr(lambda key, rows: 1 / 0, settings={"model": "a"}, reuse=str(tmp_path / "run"))
+    assert other.transcripts().filter("reused_asr").count() == 8
+    for bad in (dict(settings={"model": "b"}, reuse=str(tmp_path / "run")), dict(reuse=str(tmp_path / "other"))):
+        with pytest.raises(validate.InvalidData):
+            other.asr(said, dry=True, **bad)
+
+
+def test_runner_stops_and_resumes(spark, tmp_path):
+    """A refusal ends the stage after its wave, a failed batch leaves the others' results, changed audio is found."""
+    from cadenza.plans.run import Run
+
+    sound = wav(b"\1\0\x10\0" * 2400)
+    run = Run(spark, prompts(tmp_path, 8), str(tmp_path / "run"), ["alpha", "beta"])
+    with pytest.raises(clients.Refused):
+        run.generate(lambda system: lambda item: {"status": "failed", "http_status": 429}, waves=8)
+    asked = run.clips().count()
+    assert 0 < asked < 32
+    run.generate(lambda system: lambda item: {"status": "ok", "content": sound, "audio_seconds": 0.2, "voice": "v"}, waves=2)
+
+    def half(key, rows):
+        if key == "hi_0000":
+            raise TimeoutError
+        return said(key, rows)
+
+    with pytest.raises(TimeoutError):
+        run.asr(half)
+    summary = json.loads((tmp_path / "run" / "summary.json").read_text())
+    assert summary["scored_clips"] == 16 and not summary["coverage_complete"] and run.asr(None, dry=True)["clips"] == 16
+    clips = run.clips().withColumn("content", F.when(F.col("id") == "hi0", F.lit(b"x")).otherwise(F.col("content")))
+    clips.write.parquet(str(tmp_path / "changed"))
+    spark.read.parquet(str(tmp_path / "changed")).write.mode("overwrite").parquet(str(tmp_path / "run" / "clips"))
+    with pytest.raises(validate.InvalidData, match="changed"):
+        run.generate(lambda system: lambda item: 1 / 0)
+
+
+def test_models_are_called_once_a_clip(spark, tmp_path):
+    from cadenza.plans.run import Run
+
+    calls, sound = tmp_path / "calls", wav(b"\1\0\x10\0" * 2400)
+    run = Run(spark, prompts(tmp_path), str(tmp_path / "run"), ["alpha"])
+    run.generate(lambda system: lambda item: {"status": "ok", "content": sound, "audio_seconds": 0.2, "voice": "v"})
+    told = str(calls)
+
+    def note(what, n=1):
+        with open(told, "a") as f:
+            f.write(what * n)
+
+    run.mos(lambda: lambda x: note("s") or (3.0, 4.0))
+    run.consistency(lambda: lambda clips: note("e", len(clips)) or np.ones((len(clips), 3)))
+    assert sorted(calls.read_text()) == ["e"] * 4 + ["s"] * 4
+    run.recognize(lambda: lambda x, lang: f"hello {lang}", ["hi"])
+    assert run.transcripts().count() == 2 and {r["reason"] for r in run.saved("asr-excluded").collect()} == {"unsupported_by_asr"}
+
+
+def test_assets_addresses_padding_and_order(spark, tmp_path):
+    from cadenza.sources import assets
+
+    (tmp_path / "model.bin").write_bytes(b"weights")
+    told = assets.identity(str(tmp_path), ["model.bin"])
+    assert assets.pinned(str(tmp_path), told, lambda folder: "loaded")() == "loaded"
+    with pytest.raises(validate.InvalidData):
+        assets.pinned(str(tmp_path), {"model.bin": "0" * 64}, lambda folder: None)()
+    assert clients.endpoint("https://x.example/", "speak") == clients.endpoint("https://x.example", "speak") == "https://x.example/speak"
+    rows, sizes = ax.padded([np.ones(2), np.ones(4)])
+    assert rows.tolist() == [[1, 1, 0, 0], [1, 1, 1, 1]] and sizes.tolist() == [0.5, 1]
+    df = spark.createDataFrame([("a", "usecase", v) for v in ("Z", None, "A")], "system string, slice_kind string, slice_value string")
+    assert [r["slice_value"] for r in metrics.by_value(df, "usecase").collect()] == ["A", None, "Z"]
+    logits = spark.createDataFrame([([0.5, 3.0, 1.0, 2.0], [0, 2, 3])], "logits array<double>, mask array<int>")
+    assert logits.select(ctc.argmax(ctc.masked(F.col("logits"), F.col("mask")))).first()[0] == 2
+    assert sinks.now_utc()[:2] == "20"
+
+
+def test_manifests_and_their_ids(spark, tmp_path):
+    head = {"system": "alpha", "sentences_sha256": "D", "model": "m"}
+    (tmp_path / "a.json").write_text(json.dumps({**head, "items": [{"id": "x", "lang": "hi", "code": "hi-IN", "status": "ok", "wav_sha256": "h"}, {"id": "z", "status": "failed", "error_type": "E"}]}))
+    clips = tables.manifests(spark, [str(tmp_path / "a.json")], code_field="code")
+    assert {(r["system"], r["id"], r["language_code"], r["system_model"]) for r in clips.collect()} == {("alpha", "x", "hi-IN", "m"), ("alpha", "z", None, "m")}
+    assert [r["id"] for r in evaluate.failures(clips).collect()] == ["z"]
+    wanted = spark.createDataFrame([("alpha", "x"), ("alpha", "y")], "system string, id string")
+    assert {(r["id"], r["violation"]) for r in validate.manifest(clips, wanted, "D").collect()} == {("z", "unexpected id"), ("y", "missing id")}
+    assert validate.manifest(clips.filter("id = 'x'"), wanted.filter("id = 'x'"), "other").first()["violation"] == "other dataset"
+
+
+def test_stereo_and_saved_audio(spark, tmp_path):
+    left = np.array([1000, 2000, 3000], "<i2")
+    both = np.stack([left, -left], axis=1).tobytes()
+    assert not ax.samples(wav(both, channels=2)).any() and ax.samples(wav(np.stack([left, left], axis=1).tobytes(), channels=2, rate=16000)).tolist() == (left / 32768).tolist()
+    folder = str(tmp_path)
+
+    def save(system, name, content):
+        with open(f"{folder}/{system}__{name}.wav", "wb") as f:
+            f.write(content)
+
+    sinks.write_audio(spark.createDataFrame([("a", "x", "ok", b"1"), ("a", "y", "failed", None)], "system string, id string, status string, content binary"), save)
+    assert [p.name for p in tmp_path.iterdir()] == ["a__x.wav"] and (tmp_path / "a__x.wav").read_bytes() == b"1"
