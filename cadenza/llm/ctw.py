@@ -261,6 +261,15 @@ class Counter:
 END_WORD = _U(1)  # the end's value among words
 
 
+def by_row(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Each row's sum, which doesn't hang on the rows around it."""
+    out = np.zeros(len(rows) - 1, values.dtype)
+    some = np.flatnonzero(np.diff(rows))
+    if len(some):
+        out[some] = np.add.reduceat(values, rows[some])
+    return out
+
+
 def _rows(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=[*kinds])
 
@@ -421,8 +430,7 @@ def score(
                 s = Streams(piece.column(piece.schema.get_field_index(text)), depth)
                 score_ = np.add.reduceat(look[0](s.keys).astype(np.float64), s.at[:-1])
                 n = look[1](s.words) if len(s.words) else np.zeros(0, np.int64)
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in ((n > 0).astype(np.int64), base_of(n))]
-                known_, base_ = (x[s.rows[1:]] - x[s.rows[:-1]] for x in sums)
+                known_, base_ = (by_row(x, s.rows) for x in ((n > 0).astype(np.int64), base_of(n)))
                 own = [np.diff(s.rows) + 1, known_ + int(told_end > 0), np.full(piece.num_rows, N), base_ + ends, score_, np.diff(s.at), score_ / -math.log10(2) / np.diff(s.at)]
                 made.append(pa.RecordBatch.from_arrays([*[piece.column(piece.schema.get_field_index(c)) for c in names], *map(pa.array, own)], names=[*names, *[f.name for f in fields]]))
         kinds = [*[table.schema.field(c).type for c in names], pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]

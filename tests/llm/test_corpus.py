@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, credentials, ctw, decontaminate, jaccard, langid, preferences, queries, substrings, topk, toxicity
+from cadenza.llm import bpe, credentials, ctw, decontaminate, jaccard, langid, packed, preferences, queries, substrings, topk, toxicity
 
 from . import fixture
 
@@ -288,6 +289,8 @@ def test_toxicity(spark):
     held = got[got.held_out]
     hit = held[held.toxic == 1].predicted.mean()
     assert hit > 0.7 and held[held.toxic == 0].predicted.mean() < 0.01 and got.score.between(0, 1).all()
+    toxic, clean = held[held.toxic == 1].score.values, held[held.toxic == 0].score.values
+    assert np.mean([(x > clean).mean() + (x == clean).mean() / 2 for x in toxic]) > 0.95 and (toxic >= np.quantile(clean, 0.95)).mean() > 0.9
     model = toxicity.train(*toxicity.sample(docs, labels, F.lit(True), rows_per_label=400))
     text = "Anhe the stupid loser reth. Thene ed."
     row = toxicity.score(fixture.table(spark, [(1, text, None, None), (2, None, None, None), (3, "", None, None)]), model).collect()
@@ -316,6 +319,11 @@ def test_pipeline(spark):
     hits = brute_hits(rows, bench, 10)
     assert {r["doc_id"] for r in out.collect()} == {r[0] for r in rows if not hits[r[0]][1]}
     assert out.filter("NOT intact").isEmpty()
+    tokenizers = pytest.importorskip("tokenizers")
+    known = tokenizers.Tokenizer.from_file(queries.vocabulary())
+    masked = credentials.redact(queries.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text"))
+    texts = {r["doc_id"]: r["text"] for r in masked.collect()}
+    assert all(r["ids"] == known.encode(texts[r["doc_id"]], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"]) for r in out.collect())
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLES))
@@ -472,3 +480,80 @@ def test_ctw_code_length(spark):
         assert r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / r["n_bytes"])
     none = ctw.score(fixture.table(spark, [(1, "ab", None, None)]), F.lit(False)).first()
     assert none["n_bytes"] == 3 and none["bits_per_byte"] == pytest.approx(8)
+
+
+def test_jaccard_family_of_several_blocks(spark):
+    """More nodes at a hub than a block holds, in components that only some of their pairs join."""
+    rng = random.Random(11)
+    base, rows = fixture.words(rng, 60, 9999), []
+    for i in range(700):
+        v = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            v[rng.randrange(len(v))] = f"x{rng.randrange(60)}"
+        rows.append((i, " ".join(v), None, None))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(fixture.table(spark, rows)).collect()}
+    want = brute_components(rows, 4, 85)
+    assert got == want and len({c for _, c in want.values()}) > 5
+
+
+def test_packed_pieces():
+    rng = np.random.Generator(np.random.PCG64(4))
+    keys = [packed.ordered(rng.integers(0, 1 << 64, (n, 2), np.uint64)) for n in (0, 1, 50, 300)]
+    column = pa.array([k.tobytes() for k in keys], pa.binary()).slice(1)
+    rows = packed.views(column, 2)
+    assert [len(r) for r in rows] == [1, 50, 300] and np.array_equal(rows[2], keys[3])
+    for number in (1, 7):
+        assert np.array_equal(np.concatenate([*packed.in_pieces(rows, number)]), packed.ordered(np.concatenate(keys)))
+    assert not [*packed.in_pieces([], 3)]
+
+
+def test_bpe_store_and_settings():
+    import json
+
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        told = json.load(f)
+    codec = bpe.Codec(json.dumps(told))
+    texts = fixture.documents(3)
+    whole, ends = codec.encode_all([t or "" for _, t, *_ in texts], bpe.Store(codec.added))
+    small = bpe.Store(codec.added, most=2000)  # starts anew again and again
+    parts = [codec.encode_all([t or ""], small)[0] for _, t, *_ in texts]
+    assert all(np.array_equal(x, whole[a:b]) for x, a, b in zip(parts, ends[:-1], ends[1:], strict=True)) and small.used <= 2000 and small.keys() >= codec.added.keys()
+    long = "word, 12 " * (bpe.LONG // 6)  # is cut step by step
+    ids, _ = codec.encode_all([long], bpe.Store(codec.added))
+    assert codec.decode(ids) == long
+    for broken in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"added_tokens": [{"id": 50256, "content": "<|endoftext|>", "lstrip": True}]}):
+        with pytest.raises(ValueError, match=next(iter(broken))):
+            bpe.Codec(json.dumps(told | broken))
+
+
+def test_conflicting_labels_and_whole_documents(spark):
+    """One label an id, the toxic one; long documents are learned from; the sample is the same each time."""
+    docs = spark.createDataFrame([(i, f"w{i} bad " * (3000 if i == 3 else 5)) for i in range(20)] + [(7, "again"), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(4, 1), (4, 1), (3, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    bags, y = toxicity.sample(docs, labels, F.lit(True))
+    assert len(bags) == 21 and sum(y) == 12 and max(len(w) for w, _ in bags) == 6000
+    again, _ = toxicity.sample(docs.repartition(5), labels.repartition(4), F.lit(True))
+    assert all(np.array_equal(a[0], b[0]) for a, b in zip(bags, again, strict=True))
+    few, _ = toxicity.sample(docs, labels, F.lit(True), max_chars=40)
+    assert 2 <= len(few) < 21
+    assert toxicity.sample(docs.limit(0), labels, F.lit(True)) == ([], [])
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """Repeated rows stay, columns with the names of new ones are replaced, others are kept."""
+    rows = [(1, "one two password=abcdef12 three", "x", "x", "x", "x", 9), (1, "one two password=abcdef12 three", "x", "x", "x", "x", 9), (None, None, None, None, None, None, None), (2, "", "x", "x", "x", "x", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string, spans string, score string, `kept` string, n_words int").repartition(3)
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.fit(docs, F.lit(True), rows_per_language=20)
+    made = {
+        "ids": bpe.encode_decode(df, queries.vocabulary()), "spans": credentials.find_secrets(df), "score": ctw.score(df, F.lit(True)),
+        "kept": substrings.remove_repeats(df, size=2), "n_words": decontaminate.match(df, spark.createDataFrame([(1, "two password")], "item_id long, text string")),
+    }
+    made |= {"lang": langid.identify(df, model), "tox": toxicity.score(df, None), "n_shingles": jaccard.join(df)}
+    for name, out in made.items():
+        got = out.collect()
+        assert len(got) == 4 and sum(r["doc_id"] == 1 for r in got) == 2 and {"doc_id", "text"} <= set(out.columns) and len(set(out.columns)) == len(out.columns), name
+        same = [r for r in got if r["doc_id"] == 1]
+        assert same[0] == same[1]
+    assert {r["n_removed"] for r in made["kept"].collect() if r["doc_id"] == 1} == {4}
+    assert {r["n_hit"] for r in made["n_words"].collect() if r["doc_id"] == 1} == {2}
