@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import ctc
 from cadenza.functions import text as tx
 from cadenza.functions import vectors as vx
 from cadenza.operators import batching, consistency, coverage, metrics, resume, validate
+from cadenza.plans import evaluate
+from cadenza.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -291,3 +293,211 @@ FROM (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
 def q_clipped_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("e"))
     return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(vx.dot(F.col("e"), vx.clipped(F.col("e"), -0.5, 0.5))), 6).alias("clipped_dot"))
+
+
+# Synthetic clips: a document's length gives the number of silent frames of a WAV file at 24 kHz. In the odd set some have
+# two channels, no frame, another hash or a failed status, and only labelled documents have a file.
+_LE4 = "substr(format('{{:08X}}', {n}), 7, 2) || substr(format('{{:08X}}', {n}), 5, 2) || substr(format('{{:08X}}', {n}), 3, 2) || substr(format('{{:08X}}', {n}), 1, 2)"
+_LE2 = "substr(format('{{:04X}}', {n}), 3, 2) || substr(format('{{:04X}}', {n}), 1, 2)"
+
+
+def _wav_sql(frames: str, channels: str) -> str:
+    size = "CAST(2 * ch * frames AS BIGINT)"
+    return f"""wav AS (
+  SELECT doc_id, lang, frames, ch, unhex('52494646' || {_LE4.format(n=f'36 + {size}')} || '57415645666D7420100000000100' || {_LE2.format(n='ch')} || 'C05D0000' ||
+    {_LE4.format(n='48000 * ch')} || {_LE2.format(n='2 * ch')} || '100064617461' || {_LE4.format(n=size)} || repeat('00', {size})) AS content
+  FROM (SELECT doc_id, lang, CAST({frames} AS BIGINT) AS frames, CAST({channels} AS BIGINT) AS ch FROM documents)
+)"""
+
+
+CLEAN_WAV = _wav_sql("coalesce(n_chars, 0) % 400 + 1", "1")
+ODD_WAV = _wav_sql("coalesce(n_chars, 0) % 400", "CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END")
+LABELLED = "(SELECT DISTINCT doc_id FROM labels)"
+
+
+def little_endian(n: Column, size: int) -> Column:
+    """Hex digits of a number's bytes, the lowest first."""
+    digits = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
+
+
+def clips(spark: SparkSession, sf: str, odd: bool) -> DataFrame:
+    """(system, doc_id, id, lang, status, wav_sha256, content) of synthetic clips."""
+    length = F.coalesce("n_chars", F.lit(0)) % 400
+    channels = F.when(F.col("doc_id") % 7 == 0, 2).otherwise(1) if odd else F.lit(1)
+    docs = read(spark, sf, "documents").withColumns({"frames": length if odd else length + 1, "ch": channels})
+    ch, size = F.col("ch"), F.col("frames") * F.col("ch") * 2
+    head = F.concat(
+        F.lit("52494646"), little_endian(size + 36, 4), F.lit("57415645666D7420100000000100"), little_endian(ch, 2), F.lit("C05D0000"),
+        little_endian(ch * 48_000, 4), little_endian(ch * 2, 2), F.lit("100064617461"), little_endian(size, 4),
+    )
+    out = docs.withColumn("content", F.unhex(F.concat(head, F.repeat(F.lit("00"), size.cast("int")))))
+    status, digest = F.lit("ok"), F.sha2("content", 256)
+    if odd:
+        status, digest = F.when(F.col("doc_id") % 13 == 0, "failed").otherwise("ok"), F.when(F.col("doc_id") % 5 == 0, "another").otherwise(digest)
+    return out.select(F.lit("alpha").alias("system"), "doc_id", F.col("doc_id").cast("string").alias("id"), "lang", status.alias("status"), digest.alias("wav_sha256"), "content")
+
+
+def labelled(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    return rows.join(read(spark, sf, "labels"), "doc_id", "left_semi")
+
+
+@query(f"""WITH {ODD_WAV} SELECT CAST(w.doc_id AS VARCHAR) AS id,
+CASE WHEN w.doc_id % 13 = 0 THEN 'not generated' WHEN l.doc_id IS NULL THEN 'no file' WHEN w.doc_id % 5 = 0 THEN 'other audio' WHEN ch = 2 OR frames = 0 THEN 'other format' END AS problem,
+CASE WHEN l.doc_id IS NOT NULL THEN sha256(content) END AS sha256, CASE WHEN l.doc_id IS NOT NULL THEN ch END AS channels,
+CASE WHEN l.doc_id IS NOT NULL THEN frames END AS frames, CASE WHEN l.doc_id IS NOT NULL THEN round(frames / 24000.0, 6) END AS audio_seconds
+FROM wav w LEFT JOIN {LABELLED} l USING (doc_id)""")
+def q_audio_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Every clip with its file's hash and header, and why it can't be used."""
+    made = clips(spark, sf, odd=True)
+    files = tables.described(labelled(spark, sf, made))
+    out = validate.audio(made.select("system", "id", "status", "wav_sha256"), files)
+    return out.select("id", "problem", "sha256", "header.channels", "header.frames", F.round("audio_seconds", 6).alias("audio_seconds"))
+
+
+@query(f"""WITH {CLEAN_WAV} SELECT 'alpha' AS system, CAST(doc_id AS VARCHAR) AS id, lang, upper(lang) AS language_code, 'alpha__' || doc_id || '.wav' AS upload_name,
+'alpha/' || doc_id || '.wav' AS relative_wav, sha256(content) AS wav_sha256, round(frames / 24000.0, 6) AS audio_seconds FROM wav""")
+def q_input_records(spark: SparkSession, sf: str) -> DataFrame:
+    made = clips(spark, sf, odd=False).withColumn("sentences_sha256", F.lit("dataset"))
+    items = made.select("id", "lang", F.upper("lang").alias("language_code"))
+    out = evaluate.records(items, made, tables.described(made), ["alpha"], "dataset")
+    return out.withColumn("audio_seconds", F.round("audio_seconds", 6))
+
+
+def lengths() -> Callable:
+    """A scorer whose values are known: the number of samples at 16 kHz, and half of it."""
+    return lambda x: (float(len(x)), len(x) / 2)
+
+
+@query(f"""WITH {ODD_WAV}, known AS (
+  SELECT CAST(w.doc_id AS VARCHAR) AS id, frames, k.quality, k.toxic,
+    CASE WHEN k.doc_id IS NULL THEN 'missing' WHEN w.doc_id % 13 = 0 OR w.doc_id % 5 = 0 THEN 'other audio' WHEN k.quality <> 1 AND frames = 0 THEN 'ValueError' END AS problem
+  FROM wav w LEFT JOIN labels k USING (doc_id)
+)
+SELECT id, problem, CASE WHEN problem IS NULL THEN CASE WHEN quality = 1 THEN CAST(toxic AS DOUBLE) ELSE ceil(frames * 2 / 3.0) END END AS p808,
+CASE WHEN problem IS NULL THEN CASE WHEN quality = 1 THEN 1.0 ELSE ceil(frames * 2 / 3.0) / 2 END END AS ovrl FROM known""")
+def q_audio_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of quality 1 stand for cached values; other clips that can be used are scored."""
+    made = clips(spark, sf, odd=True)
+    known = read(spark, sf, "labels").filter("quality = 1").select("doc_id", F.col("toxic").cast("double").alias("p808"), F.col("quality").cast("double").alias("ovrl"))
+    cache = made.join(known, "doc_id").select("system", "id", "wav_sha256", "lang", "p808", "ovrl")
+    files = labelled(spark, sf, made).select("system", "id", "content")
+    good, odd = evaluate.audio_quality(made.drop("content", "doc_id"), files, cache, lengths)
+    return resume.together(good.select("id", "p808", "ovrl"), odd.select("id", "problem")).select("id", "problem", "p808", "ovrl")
+
+
+SAID = """said AS (
+  SELECT s.system, CAST(d.doc_id AS VARCHAR) AS id, d.lang, d.source AS usecase, regexp_matches(d.text, '\\p{Nd}') AS dig,
+    CASE s.system WHEN 'alpha' THEN 0 WHEN 'beta' THEN 1 ELSE 2 END AS we, length(d.source || ' ' || d.lang) AS rc,
+    CASE s.system WHEN 'alpha' THEN 0 WHEN 'beta' THEN levenshtein(d.source || ' ' || d.lang, d.source || ' x') ELSE length(d.source || ' ' || d.lang) END AS ce
+  FROM documents d, (VALUES ('alpha'), ('beta'), ('gamma')) s(system) WHERE s.system <> 'gamma' OR d.doc_id IN (SELECT doc_id FROM labels)
+)""".replace("\\\\", "\\")
+RATES = """count(*) AS clips, count(DISTINCT lang) AS languages, CAST(2 * count(*) AS BIGINT) AS reference_words, CAST(sum(we) AS BIGINT) AS word_edits, round(100.0 * sum(we) / (2 * count(*)), 6) AS corpus_wer_percent,
+round(100.0 * sum(ce) / sum(rc), 6) AS corpus_cer_percent, round(100 * avg(we / 2.0), 6) AS mean_sentence_wer_percent, round(100 * avg(ce / rc), 6) AS mean_sentence_cer_percent"""
+
+
+def said(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(items, results): the spoken reference is source and language; one system repeats it, one gets a word wrong, one is silent and has labelled prompts only."""
+    docs = read(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), "lang", "text", F.concat_ws(" ", "source", "lang").alias("spoken_reference"), F.col("source").alias("usecase"))
+    every = coverage.grid(docs, ["alpha", "beta"]).unionByName(labelled(spark, sf, docs).withColumn("system", F.lit("gamma")))
+    heard = F.when(F.col("system") == "alpha", F.col("spoken_reference")).when(F.col("system") == "beta", F.concat("usecase", F.lit(" x"))).otherwise("")
+    return docs.drop("doc_id"), every.select("system", "id", "lang", F.lit("ok").alias("status"), heard.alias("transcript"))
+
+
+@query(f"""WITH {SAID}, m AS (SELECT * FROM said WHERE id IN (SELECT id FROM said GROUP BY id HAVING count(DISTINCT system) = 3))
+SELECT system, 'matched_only' AS slice_kind, CAST(NULL AS VARCHAR) AS slice_value, {RATES} FROM m GROUP BY system
+UNION ALL SELECT system, 'lang', lang, {RATES} FROM m GROUP BY system, lang
+UNION ALL SELECT system, 'usecase', usecase, {RATES} FROM m GROUP BY system, usecase
+UNION ALL SELECT system, 'without_has_digits', NULL, {RATES} FROM m WHERE NOT dig GROUP BY system
+UNION ALL SELECT s.system, k.kind, NULL, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (VALUES ('alpha'), ('beta'), ('gamma'), ('delta')) s(system), (VALUES ('matched_only'), ('without_has_digits')) k(kind)
+WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.system = s.system AND (k.kind = 'matched_only' OR NOT m.dig))""")
+def q_transcript_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """From results to published slices; a system without results has slices of zero clips."""
+    items, results = said(spark, sf)
+    systems = spark.createDataFrame([(s,) for s in ("alpha", "beta", "gamma", "delta")], "system string")
+    out = evaluate.transcript_summary(evaluate.transcripts(results, items), systems, 3)
+    rates = ["corpus_wer_percent", "corpus_cer_percent", "mean_sentence_wer_percent", "mean_sentence_cer_percent"]
+    return out.select("system", "slice_kind", "slice_value", "clips", "languages", "reference_words", "word_edits", *[F.round(c, 6).alias(c) for c in rates])
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN quality = 1 THEN 'ok' WHEN toxic = 0 THEN 'failed' END AS status FROM labels WHERE quality <> 1""")
+def q_failed_results(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.when(F.col("quality") == 1, "ok").when(F.col("toxic") == 0, "failed")
+    return evaluate.failures(read(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"), status.alias("status")))
+
+
+QUALITY = "count(*) AS n, round(avg(value), 6) AS p808, round(avg(value / 2), 6) AS ovrl"
+
+
+@query(f"""WITH m AS (SELECT event_type AS system, CAST(user_id % 5 AS VARCHAR) AS lang, value FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = {N_TYPES}))
+SELECT system, 'matched_only' AS slice_kind, CAST(NULL AS VARCHAR) AS slice_value, {QUALITY} FROM m GROUP BY system
+UNION ALL SELECT system, 'lang', lang, {QUALITY} FROM m GROUP BY system, lang
+UNION ALL SELECT 'silent', 'matched_only', NULL, 0, NULL, NULL""")
+def q_quality_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Events stand for scored clips; a system without any has a slice of none."""
+    e, n = event_types(spark, sf)
+    scores = e.select("system", "id", (F.col("id") % 5).cast("string").alias("lang"), F.col("value").alias("p808"), (F.col("value") / 2).alias("ovrl"))
+    systems = e.select("system").distinct().unionByName(spark.createDataFrame([("silent",)], "system string"))
+    out = evaluate.quality_summary(scores, systems, n)
+    return out.select("system", "slice_kind", "slice_value", "n", F.round("p808", 6).alias("p808"), F.round("ovrl", 6).alias("ovrl"))
+
+
+@query("""WITH c AS (SELECT doc_id, count(*) AS k FROM labels GROUP BY 1), d AS (SELECT doc_id, count(*) AS k FROM documents GROUP BY 1)
+SELECT DISTINCT 'alpha' AS system, CAST(NULL AS VARCHAR) AS id, 'other dataset' AS violation FROM labels WHERE toxic = 1
+UNION ALL SELECT 'alpha', CAST(coalesce(c.doc_id, d.doc_id) AS VARCHAR), CASE WHEN coalesce(c.k, 0) > coalesce(d.k, 0) THEN 'unexpected id' ELSE 'missing id' END
+FROM c FULL JOIN d ON c.doc_id = d.doc_id WHERE coalesce(c.k, 0) <> coalesce(d.k, 0)""")
+def q_manifest_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels stand for a manifest's clips, toxic ones for clips of another dataset."""
+    named = [F.lit("alpha").alias("system"), F.col("doc_id").cast("string").alias("id")]
+    told = F.when(F.col("toxic") == 1, "another").otherwise("dataset").alias("sentences_sha256")
+    return validate.manifest(read(spark, sf, "labels").select(*named, told), read(spark, sf, "documents").select(*named), "dataset")
+
+
+@query("""SELECT lang, CASE WHEN lang IN ('de', 'en') THEN NULL ELSE 'unsupported_by_asr' END AS reason, count(*) AS n FROM documents GROUP BY 1, 2""")
+def q_supported_languages(spark: SparkSession, sf: str) -> DataFrame:
+    fine, odd = coverage.supported(read(spark, sf, "documents").select("lang"), ["de", "en"])
+    return resume.together(odd, fine).groupBy("lang", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'alpha' AS system, CAST(d.doc_id AS VARCHAR) AS id, d.lang, sha256(d.text) AS wav_sha256, 'ok' AS status, concat_ws(' ', d.lang, d.source) AS transcript,
+'r' || d.doc_id AS request_id, d.lang AS detected_language, TRUE AS reused_asr FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1""")
+def q_reused_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents stand for an earlier run's results, those of quality 1 for successful ones."""
+    docs = read(spark, sf, "documents").select(
+        "doc_id", F.lit("alpha").alias("system"), F.col("doc_id").cast("string").alias("id"), "lang", F.col("lang").alias("language_code"), F.sha2("text", 256).alias("wav_sha256"), "text", "source"
+    )
+    told = {"status": F.when(F.col("quality") == 1, "ok").otherwise("failed"), "transcript": F.concat_ws(" ", "lang", "source"), "request_id": F.concat(F.lit("r"), "id"), "detected_language": F.col("lang"), "input_text": F.col("text")}
+    earlier = docs.join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id").withColumns(told)
+    out = resume.reused_transcripts(docs.drop("doc_id", "text", "source"), docs.select("id", "text"), earlier, docs)
+    return out.drop("language_code")
+
+
+@query("""SELECT vec_id, CAST(list_position(m, list_max(m)) - 1 AS INTEGER) AS token, round(list_max(m), 6) AS logit
+FROM (SELECT vec_id, list_transform([6, 4, 1, 8], lambda i: CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings)""")
+def q_masked_argmax(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings stand for a frame's logits; a language has four tokens."""
+    own = ctc.masked(F.col("embedding").cast("array<double>"), F.array(*map(F.lit, (5, 3, 0, 7))))
+    return read(spark, sf, "embeddings").select("vec_id", own.alias("own")).select("vec_id", ctc.argmax(F.col("own")).alias("token"), F.round(F.array_max("own"), 6).alias("logit"))
+
+
+@query("""SELECT vec_id, CAST(len(s) AS INTEGER) AS samples, round(list_sum(s), 6) AS total
+FROM (SELECT vec_id, list_transform(range(1, least(len(e), 16) + 1), lambda i: (e[i] + e[len(e) + 1 - i]) / 2) AS s FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings))""")
+def q_downmix(spark: SparkSession, sf: str) -> DataFrame:
+    """An embedding and its reverse stand for two channels; the first millisecond of their mean."""
+    e = F.col("embedding").cast("array<double>")
+    mono = vx.first_seconds(vx.channel_mean(F.array(e, F.reverse(e))), 0.001)
+    total = F.aggregate("mono", F.lit(0.0), lambda s, x: s + x)
+    return read(spark, sf, "embeddings").select("vec_id", mono.alias("mono")).select("vec_id", F.size("mono").alias("samples"), F.round(total, 6).alias("total"))
+
+
+@query("SELECT doc_id, sha256(CAST(to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'n_chars': n_chars}) AS VARCHAR)) AS fingerprint FROM documents")
+def q_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", tx.fingerprint("doc_id", "lang", "source", "n_chars").alias("fingerprint"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN NULL ELSE sha256(text) END AS decoded_sha256 FROM documents")
+def q_strict_base64(spark: SparkSession, sf: str) -> DataFrame:
+    """Every other pair of documents has something before or after its code that the strict form refuses."""
+    case, code = F.col("doc_id") % 4, F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "")  # the built-in encoder breaks lines
+    sent = F.when(case == 0, F.concat(code, F.lit("!"))).when(case == 1, F.concat(F.lit("\n"), code)).otherwise(code)
+    return read(spark, sf, "documents").select("doc_id", F.sha2(tx.strict_base64(sent), 256).alias("decoded_sha256"))
