@@ -63,7 +63,9 @@ def test_digits_ids_blank_base64(spark):
     assert [value(spark, tx.is_safe_id(F.col("t")), t=t) for t in ("a-b_1", "a\n", "a.b", None)] == [True, False, False, False]
     assert [value(spark, tx.is_usable(F.col("t")), t=t) for t in ("a", " 　", "", "a\0", None)] == [True, False, False, False, False]
     good = base64.b64encode(b"wav").decode()
-    assert [value(spark, tx.strict_base64(F.col("t")), t=t) for t in (good, "!!!!", "YQ")] == [bytearray(b"wav"), None, None]
+    assert [value(spark, tx.strict_base64(F.col("t")), t=t) for t in (good, "!!!!", "YQ", f"{good}\n", f"{good[:2]}\n{good[2:]}")] == [bytearray(b"wav"), None, None, None, None]
+    size = value(spark, F.length(tx.strict_base64(F.repeat(F.col("t"), 1_000_000))), t=good)  # 3 MB of audio
+    assert size == 3_000_000
 
 
 def test_ctc(spark):
