@@ -20,10 +20,11 @@ Signatures meet in packed form. Those that share one are paired with one of them
 marks (features counted in about half as many ranges as there are; the counts' distance is at most the
 sets' difference) rule out most pairs that don't link; the others' texts are compared exactly; links give
 components. Where a hub's nodes are not all in its component, those outside are compared with all: both are
-cut into blocks, and a task has a block of either, whose sets it intersects by one sorted list of their
-features. It returns links that join components only. So a group of near copies costs a pair for each
-member, no task holds more than two blocks, pairs within a component are not formed, and no link that would
-join two components is missed.
+cut into blocks, and a task has a block of either. First only sizes and marks go, and tell which nodes may link
+with any of another component; a frequent shingle can be all that the others share. The texts of those nodes
+go next, and a task intersects its blocks' sets by one sorted list of their features. It returns links that
+join components only. So a group of near copies costs a pair for each member, no task holds more than two
+blocks, pairs within a component are not formed, and no link that would join two components is missed.
 
 Components come from hooking to the least neighbour and halving paths, by joins and aggregations.
 
@@ -39,13 +40,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrow
 from . import packed as px
-from .shared import kept
+from .shared import kept, let_go
 from .words import SPACED_FOLDED, mix, windows
 
 _U = np.uint64
@@ -55,6 +56,7 @@ LEAST_MARK = 128
 SECOND, LEFT_OUT = 3, 1  # second partitions of each first one, and how many a subset leaves out
 MET = 200_000  # signatures that a task sorts together
 BLOCK_FEATURES, BLOCK_NODES = 400_000, 512  # of a block of a hub's nodes
+BLOCK_MARKS, BLOCK_MARKED = 1 << 20, 2048  # bytes of marks, and nodes, of a block that is sent without texts
 BITS = 24  # of the filter that keeps texts without candidates from being sent
 
 
@@ -211,27 +213,63 @@ def _near(pairs: DataFrame, marks: DataFrame, share: int) -> DataFrame:
     return kept(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "ma", "sb", "mb").mapInArrow(run, "a long, b long"))
 
 
+ASKS, ASKED = 1, 2  # what a row of a pair of blocks is there for
+
+
+def _in_blocks(told: DataFrame, block: Column, least: int) -> DataFrame:
+    """(hub, node, component, role, row, column) of the hubs with nodes outside and ``least`` nodes: ``block`` is a block's number of nodes, by the largest ``size`` of a hub.
+
+    Each pair of blocks, one of nodes outside and one of all, is a task's; every block goes to all of the other
+    kind. A hub of a single pair of blocks has each node once, for both.
+    """
+    odd = told.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.count_if("out").alias("m"), F.max("size").alias("size")).filter(f"m > 0 AND n >= {least}")
+    odd = kept(odd.select("hub", F.ceil(F.col("m") / block).cast("int").alias("rows"), F.ceil(F.col("n") / block).cast("int").alias("columns")))
+    dealt = told.drop("size").join(odd, "hub")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    single = F.col("columns") == 1
+    asking = dealt.filter(F.col("out") & ~single).select("hub", "node", "component", F.lit(ASKS).alias("role"), mine("rows").alias("row"), upto("columns").alias("column"))
+    role = F.when(F.col("out") & single, ASKS | ASKED).otherwise(ASKED)
+    asked = dealt.select("hub", "node", "component", role.alias("role"), upto("rows").alias("row"), mine("columns").alias("column"))
+    return asking.unionByName(asked)
+
+
+def _may_link(told: DataFrame, texts: DataFrame, share: int) -> DataFrame:
+    """(hub, node) of nodes whose sizes and marks don't rule out a link with one of another component at their hub, one of the two outside."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        hub, node, comps, role, sizes = (table.column(c).to_numpy() for c in ("hub", "node", "component", "role", "size"))
+        marks = table.column("mark").to_pylist()
+        marks = _folded(marks, min(map(len, marks))).astype(np.int16)
+        all_ = np.flatnonzero(role & ASKED)
+        found = np.zeros(len(node), bool)
+        for i in np.flatnonzero(role & ASKS):
+            may = all_[(comps[all_] != comps[i]) & (100 * np.minimum(sizes[all_], sizes[i]) >= share * np.maximum(sizes[all_], sizes[i]))]
+            may = may[_close(sizes[i], marks[i], sizes[may], marks[may], share)]
+            found[may] = True
+            found[i] |= len(may) > 0
+        return pa.table([pa.array(hub[found]), pa.array(node[found])], names=["hub", "node"])
+
+    # a mark has a byte for two of a set's features, or LEAST_MARK
+    block = F.greatest(F.lit(8), F.least(F.lit(BLOCK_MARKED), F.floor(F.lit(BLOCK_MARKS) / F.greatest(F.lit(LEAST_MARK), F.col("size") / 2))))
+    both = _in_blocks(told, block, 3).join(texts.select("node", "size", "mark"), "node")  # two have been compared as a pair
+    return both.groupBy("hub", "row", "column").applyInArrow(compare, "hub long, node long").distinct()
+
+
 def _outside(stars: DataFrame, comp: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
     """Links (a, b) between a hub's nodes outside its component and all its nodes, enough to join what links."""
     told = stars.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(stars.select(F.col("a").alias("hub"), F.col("a").alias("node")).distinct())
     home = comp.select(F.col("node").alias("hub"), F.col("component").alias("home"))
     told = told.join(comp, "node").join(home, "hub").join(texts.select("node", "size"), "node").withColumn("out", F.col("component") != F.col("home"))
     told = kept(told.select("hub", "node", "component", "out", "size"))
-    odd = told.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.count_if("out").alias("m"), F.max("size").alias("size")).filter("m > 0 AND n > 2")
-    block = F.greatest(F.lit(8), F.least(F.lit(BLOCK_NODES), F.floor(F.lit(BLOCK_FEATURES) / F.col("size"))))
-    odd = kept(odd.select("hub", F.ceil(F.col("m") / block).cast("int").alias("rows"), F.ceil(F.col("n") / block).cast("int").alias("columns")))
-    dealt = told.drop("size").join(odd, "hub")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    # each pair of blocks, one of nodes outside and one of all, is a task's; every block goes to all of the other kind
-    asking = dealt.filter("out").select("hub", "node", "component", F.lit(True).alias("asks"), mine("rows").alias("row"), upto("columns").alias("column"))
-    asked = dealt.select("hub", "node", "component", F.lit(False).alias("asks"), upto("rows").alias("row"), mine("columns").alias("column"))
-    both = asking.unionByName(asked).join(texts.select("node", "t"), "node")
+    told = kept(told.join(kept(_may_link(told, texts, share)), ["hub", "node"]))
+    both = _in_blocks(told, F.greatest(F.lit(8), F.least(F.lit(BLOCK_NODES), F.floor(F.lit(BLOCK_FEATURES) / F.col("size")))), 2)
+    both = both.join(_of_nodes(texts, told.select("node")), "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        node, comps, asks = (table.column(c).to_numpy() for c in ("node", "component", "asks"))
+        node, comps, role = (table.column(c).to_numpy() for c in ("node", "component", "role"))
         s = Sets(table.column("t"), width)
-        all_, some = np.flatnonzero(~asks), np.flatnonzero(asks)
+        all_, some = np.flatnonzero(role & ASKED), np.flatnonzero(role & ASKS)
         flat = np.concatenate([*[s.sets[i] for i in all_], np.zeros(0, _U)])
         order = np.argsort(flat, kind="stable")
         flat, own = flat[order], np.repeat(np.arange(len(all_)), s.sizes[all_])[order]
@@ -370,6 +408,7 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4,
     texts = kept(_texts(docs, nodes, width, parts))
     comp = _relabelled(nodes.select("node", F.col("node").alias("component")), kept(_verified(texts, _near(stars, texts.select("node", "size", "mark"), share), width, share)))
     comp = _relabelled(comp, kept(_outside(stars, comp, texts, width, share).distinct()))
+    let_go(texts)
 
     fields = [T.StructField(size, T.LongType()), T.StructField("__node", T.LongType())]
 
@@ -442,6 +481,17 @@ def _texts(docs: DataFrame, nodes: DataFrame, width: int, parts: int) -> DataFra
     return sent.dropDuplicates(["node"])
 
 
+def _of_nodes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, t) of the nodes, and of some others that share a place of the filter with them."""
+    told = texts.sparkSession.sparkContext.broadcast(_mask(nodes))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(told.value, batch.column(0).to_numpy())))
+
+    return texts.select("node", "t").mapInArrow(needed, "node long, t string")
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, share: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link, found by comparing their texts' sets."""
 
@@ -457,14 +507,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, share: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     pairs = kept(pairs)
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    told = texts.sparkSession.sparkContext.broadcast(_mask(ends))
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_marked(told.value, batch.column(0).to_numpy())))
-
-    texts = texts.select("node", "t").mapInArrow(needed, "node long, t string")
+    texts = _of_nodes(texts, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
     two = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
     four = two.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
     return four.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")

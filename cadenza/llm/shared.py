@@ -29,14 +29,43 @@ def ensure_folder(spark: SparkSession) -> str:
 
 
 _kept: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """``df`` as Parquet. Shuffle files of the write go as soon as it ends, not when the driver happens to collect its garbage.
+
+    The session's setting is put back. (A query that another thread begins meanwhile drops its own shuffle files
+    too, and Spark makes them again if they are asked for.)
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage is cut, and executors may be lost afterwards."""
     path = f"{ensure_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     _kept.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    write(df, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`kept` that nothing will read any more."""
+    for table in tables:
+        drop(table.sparkSession, table._kept_at)
+        if table._kept_at in _kept:
+            _kept.remove(table._kept_at)
 
 
 def drop(spark: SparkSession, *paths: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import bpe, credentials, decontaminate, jaccard, langid, queries
-from cadenza.llm.shared import drop, drop_kept, ensure_folder
+from cadenza.llm.shared import drop, drop_kept, ensure_folder, write
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for number, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        out.write.parquet(path := f"{folder}/{number}-{name}")
+        write(out, path := f"{folder}/{number}-{name}")
         drop_kept(spark)
         drop(spark, *before)
         docs, before = spark.read.parquet(path), [path]

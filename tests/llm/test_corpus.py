@@ -1,6 +1,8 @@
 import math
+import pathlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, credentials, ctw, decontaminate, jaccard, langid, packed, preferences, queries, substrings, topk, toxicity
+from cadenza.llm import bpe, credentials, ctw, decontaminate, jaccard, langid, packed, preferences, queries, shared, substrings, topk, toxicity
 
 from . import fixture
 
@@ -557,3 +559,42 @@ def test_repeated_rows_and_clashing_columns(spark):
         assert same[0] == same[1]
     assert {r["n_removed"] for r in made["kept"].collect() if r["doc_id"] == 1} == {4}
     assert {r["n_hit"] for r in made["n_words"].collect() if r["doc_id"] == 1} == {2}
+
+
+@pytest.mark.parametrize("most", [8, 2048])
+def test_jaccard_texts_go_only_where_marks_allow_a_link(spark, monkeypatch, most):
+    """Of a hub's many nodes that share next to nothing, two that link and are not the hub are found, and only their texts are sent."""
+    monkeypatch.setattr(jaccard, "BLOCK_MARKED", most)
+    rng = random.Random(31)
+    texts = [fixture.words(rng, 300, 10**6) for _ in range(40)]
+    texts = [" ".join(x) for x in [*texts, texts[7][:-5]]]
+    s = jaccard.Sets(pa.array(texts, pa.large_string()), 4)
+    nodes = s.nodes.astype(np.int64).tolist()
+    table = spark.createDataFrame([(n, t, int(z), bytearray(jaccard.mark(x))) for n, t, z, x in zip(nodes, texts, s.sizes, s.sets, strict=True)], "node long, t string, size long, mark binary")
+    stars = spark.createDataFrame([(nodes[0], n) for n in nodes[1:]], "a long, b long")
+    told = spark.createDataFrame([(nodes[0], n, n, n != nodes[0], int(z)) for n, z in zip(nodes, s.sizes, strict=True)], "hub long, node long, component long, out boolean, size long")
+    two = {nodes[7], nodes[40]}
+    assert {r["node"] for r in jaccard._may_link(told, table, 85).collect()} == two
+    comp = table.select("node", F.col("node").alias("component"))
+    assert {frozenset([r["a"], r["b"]]) for r in jaccard._outside(stars, comp, table, 4, 85).collect()} == {frozenset(two)}
+
+
+def test_kept_leaves_no_shuffle_files(spark):
+    """Whether or not the driver collects its garbage; the session's setting stays as it was."""
+
+    def files():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {str(f) for d in folders for f in pathlib.Path(d).rglob("shuffle_*.data")}
+
+    before, setting = files(), spark.conf.get(shared._CLEANUP, None)
+    table = shared.kept(spark.range(20_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(40):  # they are deleted in the background
+        if files() <= before:
+            break
+        time.sleep(0.25)
+    assert files() <= before and spark.conf.get(shared._CLEANUP, None) == setting
+    assert sum(r["count"] for r in table.collect()) == 20_000
+    path = pathlib.Path(table._kept_at.removeprefix("file:"))
+    assert path.exists()
+    shared.let_go(table)
+    assert not path.exists() and table._kept_at not in shared._kept
